@@ -193,7 +193,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
-    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded, rows=256)
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -204,4 +204,4 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return map_arrow(encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids"), run, "doc_id long, text string", rows=256)
+    return map_arrow(encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids"), run, "doc_id long, text string")

@@ -57,11 +57,11 @@ def scan_partitions(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
-def map_arrow(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches of few rows, as texts may be long; the package goes along to executors that lack it."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return df.mapInArrow(fn, schema)
 
 
@@ -118,18 +118,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash modulo 2^64 of each word's bytes, with its bits spread."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """A polynomial hash modulo 2^64 of each word's bytes, with its bits spread; at_once: bytes of words looked at together."""
     size = ends - starts
-    powers = np.full(int(size.max()), _R, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    first = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(first, size)
-    values = (flat[np.repeat(starts, size) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
-    return mix(np.add.reduceat(values, first) + size.astype(np.uint64))
+    out, total, k = np.zeros(len(size), np.uint64), np.cumsum(size), 0
+    while k < len(size):
+        last = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + at_once, "right")))
+        some = size[k:last]
+        powers = np.full(int(some.max()), _R, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        first = np.cumsum(some) - some
+        within = np.arange(int(some.sum())) - np.repeat(first, some)
+        values = (flat[np.repeat(starts[k:last], some) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
+        out[k:last] = mix(np.add.reduceat(values, first) + some.astype(np.uint64))
+        k = last
+    return out
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
