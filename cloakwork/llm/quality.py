@@ -110,8 +110,8 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def judge(docs: DataFrame, ratio: np.ndarray, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", keep_text: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score; keep_text: further columns to carry along."""
+def judge(docs: DataFrame, ratio: np.ndarray, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
 
     def run(batches):
         for b in batches:
@@ -129,13 +129,11 @@ def judge(docs: DataFrame, ratio: np.ndarray, least: float = LEAST, id_col: str
             lines = [dup_lines(data[x:y]) for x, y in zip(limits, limits[1:])]
             failed = (n < 20) | (100 * again > 30 * n)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(np.asarray(x, np.int64)) for x in (n, chars, row_sums(_SYMBOL[flat], limits), lines, again)), pa.array(failed), pa.array(~failed & (score >= least)), pa.array(score), *b.columns[2:]], names=names
+                [b.column(0), *(pa.array(np.asarray(x, np.int64)) for x in (n, chars, row_sums(_SYMBOL[flat], limits), lines, again)), pa.array(failed), pa.array(~failed & (score >= least)), pa.array(score)], names=names
             )
 
-    kept = texts(docs, id_col, text_col, *keep_text)
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", *keep_text]
-    more = "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in keep_text)
-    return map_arrow(kept, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double" + more)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
 
 
 def keep(docs: DataFrame, ratio: np.ndarray, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

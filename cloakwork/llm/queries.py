@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, mixing, packing, quality, substrings, urls
+from . import bpe, language, licenses, media, mixing, packing, quality, simhash, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component of near duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
@@ -67,6 +72,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_source_mix": op2_source_mix,
+    "op3_simhash_groups": op3_simhash_groups,
     "op4_url_filter": op4_url_filter,
     "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,

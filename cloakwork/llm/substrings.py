@@ -119,11 +119,11 @@ def intervals(mask: np.ndarray) -> list[dict]:
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, removed (intervals of words), kept (the words left, joined by one space); carry: further columns."""
+    """doc_id, n_words, n_removed, removed (intervals of words), kept (the words left, joined by one space); carry: further columns, as carry_<name>."""
     found = hits(docs, width, id_col, text_col).groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list("hashes").alias("lost"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     both = rows.join(found, F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "lost", *[f"carry_{c}" for c in carry])
-    names = ["doc_id", "n_words", "n_removed", "removed", "kept", *carry]
+    names = ["doc_id", "n_words", "n_removed", "removed", "kept", *[f"carry_{c}" for c in carry]]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -145,5 +145,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string()), *b.columns[3:]], names=names)
 
-    more = "".join(f", `{c}` {both.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
+    more = "".join(f", `carry_{c}` {both.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
     return map_arrow(both, run, "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string" + more)
