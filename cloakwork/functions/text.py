@@ -94,7 +94,7 @@ def name_parts(c: Column, titles=catalogue.PERSON_TITLES) -> Column:
     return F.struct(
         whole.alias("canonical"),
         first.alias("first_names"),
-        F.coalesce(F.element_at(words, -1), F.lit("")).alias("last_name"),
+        F.coalesce(F.get(words, F.size(words) - 1), F.lit("")).alias("last_name"),
         F.filter(F.slice(tail, 1, F.greatest(F.size(tail) - 1, F.lit(0))), lambda w: F.array_contains(particles, w)).alias("particles"),
     )
 

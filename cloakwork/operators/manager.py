@@ -215,7 +215,7 @@ def create_group(groups: DataFrame, entities: DataFrame, name: str, ids: list[st
     spark = groups.sparkSession
     base = spark.range(1).select(F.lit(name).alias("name")).select("name", text.slug(F.col("name")).alias("slug"))
     taken = groups.where(F.col("id").rlike(r"^[0-9A-Z_]+$")).select(F.col("id").alias("taken"))
-    used = base.join(taken, (F.col("taken") == F.col("slug")) | F.col("taken").rlike(F.concat(F.lit("^"), F.col("slug"), F.lit(r"_\d+$"))), "left").groupBy("name", "slug").agg(F.count("taken").alias("n"))
+    used = base.join(taken, (F.col("taken") == F.col("slug")) | F.rlike("taken", F.concat(F.lit("^"), F.col("slug"), F.lit(r"_\d+$"))), "left").groupBy("name", "slug").agg(F.count("taken").alias("n"))
     new = used.select(F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("_"), (F.col("n") + 1).cast("string"))).alias("id"), "name", F.lit(description).alias("description"), F.array(*map(F.lit, ids)).cast("array<string>").alias("entity_ids"))
     new = new.withColumn("token", F.lit(token) if token else F.concat(F.lit("["), F.col("id"), F.lit("]")))
     marked = entities.join(F.broadcast(new.select(F.col("token").alias("_token"))), how="cross").withColumn("replacement", F.when(F.col("id").isin(*ids), F.col("_token")).otherwise(F.col("replacement"))).drop("_token")

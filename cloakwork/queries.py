@@ -585,7 +585,7 @@ def regex_model_merge(t):
     e = t("entities").withColumn("value", F.concat(F.lit("N"), F.substring("value", 2, 9)))
     docs = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.repeat(F.lit("Nalue1 "), 40).alias("text"))
     fused = ner.fuse(e.where("method = 'regex'"), e.where("method <> 'regex'"), docs)
-    return fused.select("doc_id", F.inline_outer("entities")).select("doc_id", "type", "value", "start", "end", F.round("confidence", 6).alias("confidence"), "method")
+    return fused.select("doc_id", F.inline_outer("entities")).where("type is not null").select("doc_id", "type", "value", "start", "end", F.round("confidence", 6).alias("confidence"), "method")
 
 
 @query("""with r as (select doc_id, id, type, start, "end" from entities where method = 'regex'), m as (select doc_id, id, type, start, "end" from entities where method <> 'regex')

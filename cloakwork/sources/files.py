@@ -27,7 +27,7 @@ def extension(path: Column) -> Column:
 
 
 def binary(spark: SparkSession, path: str, settings: Settings = Settings(), types=FORMATS) -> DataFrame:
-    """path, modificationTime, length, content, extension, hash of files of supported types and sizes."""
+    """path, modificationTime, length, content, extension, hash of files of supported types and sizes; Spark lists no file without a byte."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.withColumn("extension", extension(F.col("path"))).where(F.col("extension").isin(*types) & (F.col("length") <= settings.max_file_bytes)).withColumn("hash", F.md5("content"))
 

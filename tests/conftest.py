@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, HERE)
+sys.path[:0] = [HERE, os.path.join(HERE, "tests")]
 os.environ["PYTHONPATH"] = HERE + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 SF = "/root/testdata/sf0.001"
