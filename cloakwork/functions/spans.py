@@ -21,14 +21,12 @@ def once(c: Column) -> Column:
     return F.when(F.rand(0) >= 0, c)
 
 
-def find(text: Column, pattern: Column | str, guard: str | None = None) -> Column:
-    """array<struct<value,start,end>> of the pattern's matches, left to right.
+#: A character that stands in no text: a noncharacter of Unicode.
+_MARK = "\uffff"
 
-    What the pattern splits off and what it matches alternate, so a match starts after all of both before it.
-    """
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    text = F.coalesce(text, F.lit(""))
-    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+
+def _aligned(gaps: Column, matches: Column) -> Column:
+    """Spans of matches and of what lies before each: a match starts after all of both before it."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(s: Column, pair: Column) -> Column:
@@ -37,8 +35,30 @@ def find(text: Column, pattern: Column | str, guard: str | None = None) -> Colum
         return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(pair["match"].alias("value"), first.alias("start"), end.alias("end"))).cast(f"array<{SPAN}>").alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    found = F.aggregate(pairs, start, step, lambda s: s["out"])
-    return F.when(text.rlike(guard), found).otherwise(F.array().cast(f"array<{SPAN}>")) if guard else found
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+
+def find(text: Column, pattern: str, guard: str | None = None) -> Column:
+    """array<struct<value,start,end>> of the pattern's matches, left to right.
+
+    A text without a match, by a cheaper guard or the pattern, is left at that. Else matches are replaced by a mark and the
+    text is split at it, as Spark keeps a compiled pattern for replacing but not for splitting.
+    """
+    text = F.coalesce(text, F.lit(""))
+    p = F.lit(pattern)
+    gaps = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, p, F.lit(_MARK)), _MARK, -1))
+    met = text.rlike(guard) & text.rlike(pattern) if guard else text.rlike(pattern)
+    return F.when(met, _aligned(gaps, F.regexp_extract_all(text, p, F.lit(0)))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def find_value(text: Column, value: Column) -> Column:
+    """The same for a value as it is, whatever its case. Where lower case has another length, a regex finds it."""
+    low, v = F.lower(text), F.lower(value)
+    gaps = F.split(F.replace(low, v, F.lit(_MARK)), _MARK, -1)
+    plain = _aligned(gaps, F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: v))
+    p = literal(value)
+    slow = _aligned(F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0)))
+    return F.when((F.length(low) == F.length(text)) & (F.length(v) == F.length(value)) & ~text.contains(_MARK), plain).otherwise(slow)
 
 
 def literal(value: Column, ignore_case: bool = True, words: bool = False) -> Column:

@@ -57,7 +57,7 @@ def mentions(body: Column, table=catalogue.RUNTIME, width: int = 80) -> Column:
 
 def occurrences(body: Column, values: Column) -> Column:
     """At how many places any of the values stands, whatever its case and neighbours."""
-    places = F.flatten(F.transform(values, lambda v: F.transform(spans.find(body, spans.literal(v)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    places = F.flatten(F.transform(values, lambda v: F.transform(spans.find_value(body, v), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
     return F.size(F.array_distinct(places))
 
 

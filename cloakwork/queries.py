@@ -92,7 +92,7 @@ def context_window(t):
 
 @query(f"""select doc_id, type, regexp_extract(rtrim(substr(text, 1, strpos(text, value) - 1)), '(\\w+)$', 1) as word from {_FR} where type <> 'PERSON'""")
 def preceding_word(t):
-    found = t("letters").select("doc_id", "text", F.inline(F.transform(spans.find(F.col("text"), F.lit(f"(?U){catalogue.EMAIL}|{catalogue.DATE}|{catalogue.MOBILE}")), lambda m: m)))
+    found = t("letters").select("doc_id", "text", F.inline(F.transform(spans.find(F.col("text"), f"(?U){catalogue.EMAIL}|{catalogue.DATE}|{catalogue.MOBILE}"), lambda m: m)))
     kind = F.when(F.col("value").contains("@"), "EMAIL").when(F.col("value").contains("/"), "DATE").otherwise("PHONE")
     return found.select("doc_id", kind.alias("type"), text.preceding_word(F.col("text"), F.col("start")).alias("word"))
 
