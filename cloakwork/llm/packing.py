@@ -18,6 +18,7 @@ documents and no rows. Other columns are left out.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -47,23 +48,50 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        spec = json.loads(self.library.to_str())
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = [t.encode() for t in added]
+        self.parting = next(iter(added.items()), None)
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
         self.remember, self.new, self.old = remember, {}, {}
 
+    def _encode(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        """The library's ids of each word; many words are one text, with a special token, which parts a text, between them."""
+        out = {}
+        for at in range(0, len(unknown), 2048):
+            some = unknown[at : at + 2048]
+            if self.parting is None:
+                got = [np.array(e.ids, "<u4") for e in self.library.encode_batch([w.decode() for w in some], add_special_tokens=False)]
+            else:
+                ids = np.array(self.library.encode(self.parting[0].join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+                got = np.split(ids, np.flatnonzero(ids == self.parting[1]))
+                got = [got[0], *(x[1:] for x in got[1:])]
+            out.update((w, x.tobytes()) for w, x in zip(some, got))
+        return out
+
     def encode_all(self, documents: list[bytes]) -> list[bytes]:
         """Ids of each document as little-endian unsigned 32-bit integers."""
         if len(self.new) >= self.remember:
             self.new, self.old = {}, self.new
-        words = [x.split() for x in documents]
+        odd = [k for k, x in enumerate(documents) if any(t in x for t in self.special)]
+        words = [(x.lower() if self.lowers else x).split() for x in documents]
+        for k in odd:
+            words[k] = []
         found = [list(map(self.new.get, x)) for x in words]
-        missing = list({w for x, ids in zip(words, found) if None in ids for w, i in zip(x, ids) if i is None})
+        missing = {w for x, ids in zip(words, found) if None in ids for w, i in zip(x, ids) if i is None}
         fresh = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
-        unknown = [w for w in missing if w not in fresh]
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, "<u4").tobytes()
+        # A stop or comma after an ASCII letter is a piece of its own.
+        stems = {w: w[:-1] for w in missing if w not in fresh and w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        wanted = {stems.get(w, w) for w in missing if w not in fresh} | {w[-1:] for w in stems}
+        known = {w: ids for w in wanted if (ids := self.new.get(w) or self.old.get(w)) is not None}
+        known |= self._encode([w for w in wanted if w not in known])
+        fresh |= known
+        fresh.update((w, known[stem] + known[w[-1:]]) for w, stem in stems.items())
         self.new.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
-        return [b"".join([fresh[w] if i is None else i for w, i in zip(x, ids)] if None in ids else ids) for x, ids in zip(words, found)]
+        out = [b"".join([fresh[w] if i is None else i for w, i in zip(x, ids)] if None in ids else ids) for x, ids in zip(words, found)]
+        for k in odd:
+            out[k] = np.array(self.library.encode(documents[k].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def words(path: str) -> Words:
