@@ -147,6 +147,10 @@ def in_brackets(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("["), p, F.lit("]"))), ", ")
 
 
-def short_form(c: Column, titles=("m.", "mme", "mlle", "dr", "me", "maître", "monsieur", "madame")) -> Column:
-    """A name without its titles."""
-    return F.array_join(F.filter(F.split(F.trim(c), r"\s+"), lambda w: ~F.lower(w).isin(*titles)), " ")
+def short_form(c: Column) -> Column:
+    """A shorter form to offer for a value: its leading verb alone, or the value without long titles; null if there is none."""
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    first = F.get(words, F.lit(0))
+    without = F.array_join(F.filter(words, lambda w: ~F.lower(w).isin(*catalogue.SHORT_TITLES)), " ")
+    titled = F.lower(c).rlike("|".join(catalogue.SHORT_TITLES))
+    return F.when((F.size(words) > 2) & F.lower(first).isin(*catalogue.LEADING_VERBS), first).when(titled & (without != c), without)

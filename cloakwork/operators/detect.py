@@ -165,18 +165,17 @@ def refined_type(e: Column, body: Column) -> Column:
 
 def model_filters(e: Column, body: Column, flags) -> Column:
     """Whether a model's span passes the filters that are on."""
+    person = e["type"] == "PERSON"
     minimum = F.when(e["type"].isin("PERSON", "ORG", "LOC"), 2).otherwise(1)
     ok = F.lit(True)
-    if flags.get("min_length"):
+    if flags.get("min_length", True):
         ok = ok & (F.length(e["value"]) >= minimum)
-    if flags.get("stopwords"):
-        ok = ok & ~F.lower(e["value"]).isin(*catalogue.STOP_WORDS)
-    if flags.get("capitalization"):
-        ok = ok & ((e["type"] != "PERSON") | F.substring(e["value"], 1, 1).rlike(r"\p{Lu}"))
-    if flags.get("title_check"):
-        ok = ok & ~F.lower(e["value"]).isin(*catalogue.CIVIL_TITLES)
-    if flags.get("require_title"):
-        ok = ok & ((e["type"] != "PERSON") | F.lower(text.preceding_word(body, e["start"])).isin(*[t.rstrip(".") for t in catalogue.CIVIL_TITLES]))
+    if flags.get("stopwords", True):
+        ok = ok & ~(person & F.lower(e["value"]).isin(*catalogue.STOP_WORDS))
+    if flags.get("capitalization", True):
+        ok = ok & (~person | F.substring(e["value"], 1, 1).rlike(r"\p{Lu}"))
+    if flags.get("title_check", True) and flags.get("require_title", False):
+        ok = ok & (~person | F.lower(text.preceding_word(body, e["start"])).isin(*catalogue.CIVIL_TITLES))
     return ok
 
 

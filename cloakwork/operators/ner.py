@@ -48,7 +48,7 @@ def detect_model(docs: DataFrame, backend, id_col: str = "doc_id", text_col: str
 
     found = pieces.mapInPandas(run, f"`{id_col}` {kind}, label string, value string, start int, end int, model_confidence double")
     confidence = F.coalesce("model_confidence", detect.model_confidence(F.col("label"), F.col("value")))
-    return found.select(id_col, detect.renamed(F.col("label"), catalogue.MODEL_LABELS).alias("type"), "value", "start", "end", confidence.alias("confidence"), F.lit(backend.method).alias("method"))
+    return found.select(id_col, detect.renamed(F.upper("label"), catalogue.TRANSFORMER_LABELS if backend.method == "transformers" else catalogue.MODEL_LABELS).alias("type"), "value", "start", "end", confidence.alias("confidence"), F.lit(backend.method).alias("method"))
 
 
 def fuse(regex: DataFrame, model: DataFrame, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

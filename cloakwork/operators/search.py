@@ -9,11 +9,11 @@ from ..functions import spans, text
 
 # Patterns offered for quick searches.
 QUICK = {
-    "emails": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "phones": r"\b(?:\+33|0)[1-9](?:[\s.-]?\d{2}){4}\b",
-    "dates": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
-    "numbers": r"\b\d+\b",
-    "capitals": r"\b[A-Z]{2,}\b",
+    "emails": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "phones": r"(?:\+33|0)[1-9](?:[0-9\s.-]{8,})",
+    "addresses": r"\b\d+\s+[A-Za-z\s]+(?:rue|avenue|boulevard)",
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]+\b",
+    "names": r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b",
 }
 
 

@@ -136,7 +136,8 @@ EXTENDED_LABELS = {
 METHOD_RANK = {"regex": 3, "spacy": 2, "transformers": 1}
 RENAMED = {"PERSON_FR": "PERSON", "ORG_FR": "ORG", "SSN_FR": "SSN", "SIRET_FR": "SIRET", "SIREN_FR": "SIREN", "TVA_FR": "TVA", "ARTICLE_LOI": "LEGAL_REF", "NUMERO_DOSSIER": "CASE_NUMBER", "RG_NUMBER": "COURT_REF"}
 HARMONISED = {"PERSON_WITH_TITLE": "PERSON", "PERSON_FR": "PERSON", "FRENCH_COMPANY": "ORG", "ORG_FR": "ORG"}
-MODEL_LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORG", "LOC": "LOC", "GPE": "LOC", "MISC": "MISC", "DATE": "DATE", "MONEY": "MONEY", "PERCENT": "PERCENT"}
+MODEL_LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORG", "LOC": "LOCATION", "GPE": "LOCATION", "MISC": "MISC", "DATE": "DATE", "TIME": "DATE", "MONEY": "MONEY", "PERCENT": "PERCENT", "CARDINAL": "NUMBER", "ORDINAL": "NUMBER"}
+TRANSFORMER_LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORG", "ORGANIZATION": "ORG", "LOC": "LOCATION", "LOCATION": "LOCATION", "MISC": "MISC", "DATE": "DATE", "TIME": "DATE"}
 MODEL_TRUST = {"PER": 0.92, "PERSON": 0.92, "ORG": 0.88, "LOC": 0.85, "GPE": 0.85, "MISC": 0.75, "DATE": 0.90, "MONEY": 0.88, "PERCENT": 0.85}
 
 # Presets, from the smallest to the largest.
@@ -188,4 +189,6 @@ CIVIL_TITLES = ("maître", "maitre", "m.", "mr", "mme", "mlle", "dr", "me", "doc
 NAME_TITLES = ("mr", "mme", "dr", "me", "maître")
 PERSON_TITLES = ("m", "mr", "mme", "mlle", "dr", "me", "maitre", "maître")
 LONG_TITLES = ("monsieur", "madame", "mademoiselle", "docteur", "professeur", "maître")
+SHORT_TITLES = ("monsieur", "madame", "docteur")
+LEADING_VERBS = ("débouter", "contacter", "rencontrer")
 ORG_WORDS = ("société", "entreprise", "sarl", "sas", "cabinet", "étude", "bureau")

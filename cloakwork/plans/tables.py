@@ -64,7 +64,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     base = spark.read.parquet(f"{sf_dir}/{_READS[name]}.parquet")
-    return spark.sql(SQL[name](False).replace('"end"', "`end`").replace(f"from {_READS[name]}", "from {base}"), base=base)
+    derived = spark.sql(SQL[name](False).replace('"end"', "`end`").replace(f"from {_READS[name]}", "from {base}"), base=base)
+    return spread(derived) if name == "letters" else derived
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is read in fewer parts: for long work on short rows. A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def duck(sql: str) -> str:

@@ -240,7 +240,7 @@ def variant_lists(t):
 def normalize_names(t):
     name = F.concat(F.lit("M. "), "first", F.lit(" "), "last")
     noble = F.concat(F.lit("Mme "), "first", F.lit(" de La "), "last")
-    return t("letters").select("doc_id", text.person_key(name).alias("person_key"), text.person_signature(name).alias("signature"), text.last_name(noble).alias("last_name"), text.short_form(name).alias("short"))
+    return t("letters").select("doc_id", text.person_key(name).alias("person_key"), text.person_signature(name).alias("signature"), text.last_name(noble).alias("last_name"), text.short_form(F.concat(F.lit("Monsieur "), "first", F.lit(" "), "last")).alias("short"))
 
 
 @query("select doc_id, lower(concat(first, ' de la ', last)) as canonical, lower(first) as first_names, lower(last) as last_name, 'de|la' as particles from letters")

@@ -140,6 +140,16 @@ def write_texts(anonymized: DataFrame, path: str, id_col: str = "doc_id", out_co
     anonymized.select(id_col, body.alias("text")).write.mode("errorifexists").parquet(path)
 
 
+def write_json(report: DataFrame, path: str) -> None:
+    """Merge histories, mappings, metrics: a JSON object a row."""
+    report.write.mode("errorifexists").json(path)
+
+
+def metrics_json(spark: SparkSession, path: str) -> DataFrame:
+    """Saved figures: name, value."""
+    return spark.read.schema("name string, value double").json(path)
+
+
 def write_csv(report: DataFrame, path: str) -> None:
     report.write.mode("errorifexists").option("header", "true").csv(path)
 
