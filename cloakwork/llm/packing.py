@@ -41,7 +41,7 @@ class Words:
     remember: most words whose ids a worker keeps; older ones are encoded again.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -61,12 +61,12 @@ class Words:
         for at in range(0, len(unknown), 2048):
             some = unknown[at : at + 2048]
             if self.parting is None:
-                got = [np.array(e.ids, "<u4") for e in self.library.encode_batch([w.decode() for w in some], add_special_tokens=False)]
+                got = [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([w.decode() for w in some], add_special_tokens=False)]
             else:
                 ids = np.array(self.library.encode(self.parting[0].join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
-                got = np.split(ids, np.flatnonzero(ids == self.parting[1]))
-                got = [got[0], *(x[1:] for x in got[1:])]
-            out.update((w, x.tobytes()) for w, x in zip(some, got))
+                data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.parting[1])).tolist()
+                got = [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
+            out.update(zip(some, got))
         return out
 
     def encode_all(self, documents: list[bytes]) -> list[bytes]:
