@@ -47,9 +47,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are written, and to which nothing refers any more."""
+    for _ in range(2):  # Python's references go first, the JVM's objects then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def scan_partitions(df: DataFrame) -> int:

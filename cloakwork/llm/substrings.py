@@ -4,7 +4,8 @@ Each window of WIDTH consecutive words gets a Rabin-Karp hash of 64 bits. A task
 and settles what it can: of a hash's documents in the chunk, all but the one with the smallest id lose the window, and only
 that one is dealt on, so a passage that a third of all documents share makes one entry a chunk. Entries go to buckets by
 the hash's top bits, packed as one row a chunk and bucket; a bucket's entries are sorted again, and those with a document
-that has a smaller id elsewhere are hits. Hits go back to their documents, where the hit windows merge into maximal
+that has a smaller id elsewhere are hits. Hits are packed and dealt once more, by groups of documents, and each document
+gets its own as one row. There the hit windows merge into maximal
 intervals of words, which are removed. Equal hashes count as equal windows; at 10^10 windows about three pairs in all may
 collide by chance.
 
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, covered, cut, map_arrow, scan_partitions, texts, window_hashes, word_hashes, word_spans
+from .common import buffers, covered, cut, map_arrow, mix, release, scan_partitions, texts, window_hashes, word_hashes, word_spans
 
 WIDTH = 13
 #: Words whose windows a task sorts together.
@@ -56,7 +58,7 @@ def settle(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def hits(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, hashes (binary: the hashes of windows that the document loses; several rows a document)."""
+    """doc_id, hashes (binary: the hashes of windows that the document loses): one row a document that loses any."""
     rows = texts(docs, id_col, text_col)
     bits = max(4, min(BUCKETS, 2 * scan_partitions(rows)).bit_length())
     schema = pa.schema([("bucket", pa.int32()), ("open", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
@@ -91,25 +93,32 @@ def hits(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
         if parts:
             yield chunk(parts)
 
+    def unpacked(table):
+        parts = [(unplanes(h), np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.int32))) for h, i, n in zip(*(table.column(c).to_pylist() for c in ("hashes", "ids", "counts")))]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
     def judge(table):
-        h, d, lost = [], [], []
-        for is_open, hashes, ids, counts in zip(*(table.column(c).to_pylist() for c in ("open", "hashes", "ids", "counts"))):
-            x, y = unplanes(hashes), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32))
-            if is_open:
-                h.append(x)
-                d.append(y)
-            else:
-                lost.append((x, y))
-        if h:
-            lost.append(settle(np.concatenate(h), np.concatenate(d))[2:])
-        if not lost or not sum(len(x) for x, _ in lost):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
-        hs, ids, counts = by_document(*(np.concatenate(x) for x in zip(*lost)))
+        sure = table.filter(pc.invert(table.column("open")))
+        lost = [unpacked(sure)] if len(sure) else []
+        if len(sure) < len(table):
+            lost.append(settle(*unpacked(table.filter(table.column("open"))))[2:])
+        h, d = (np.concatenate(x) for x in zip(*lost))
+        group = (mix(d.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        h, d, group = h[order], d[order], group[order]
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else []
+        out = [(int(group[x]), *by_document(h[x:y], d[x:y])) for x, y in zip(first, [*first[1:], len(h)])]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*((g, planes(hs), ids.tobytes(), n.tobytes()) for g, hs, ids, n in out)) if out else ([], [], [], []), grouped)], schema=grouped)
+
+    def regroup(table):
+        hs, ids, counts = by_document(*unpacked(table))
         ends = np.cumsum(counts)
         return pa.table({"doc_id": pa.array(ids), "hashes": pa.array([hs[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())})
 
+    grouped = pa.schema([("docs", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
     dealt = map_arrow(rows, deal, "bucket int, open boolean, hashes binary, ids binary, counts binary")
-    return cut(dealt.groupBy("bucket").applyInArrow(judge, "doc_id long, hashes binary"), "window-hits")
+    lost = dealt.groupBy("bucket").applyInArrow(judge, "docs int, hashes binary, ids binary, counts binary")
+    return cut(lost.groupBy("docs").applyInArrow(regroup, "doc_id long, hashes binary"), "window-hits")
 
 
 def intervals(mask: np.ndarray) -> list[dict]:
@@ -120,7 +129,9 @@ def intervals(mask: np.ndarray) -> list[dict]:
 
 def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, removed (intervals of words), kept (the words left, joined by one space); carry: further columns, as carry_<name>."""
-    found = hits(docs, width, id_col, text_col).groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list("hashes").alias("lost"))
+    lost = hits(docs, width, id_col, text_col)
+    release(docs.sparkSession)  # the windows' shuffle files go before the texts are dealt
+    found = lost.select(F.col("doc_id").alias("hit_id"), F.col("hashes").alias("lost"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     both = rows.join(found, F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "lost", *[f"carry_{c}" for c in carry])
     names = ["doc_id", "n_words", "n_removed", "removed", "kept", *[f"carry_{c}" for c in carry]]
@@ -138,7 +149,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
                 if lost:
                     starts, ends, one = word_spans(flat[x:y], np.array([0, y - x]))
                     h, first, _ = window_hashes(word_hashes(flat[x:y], starts, ends), one, width)
-                    mask = covered(first[np.isin(h, np.frombuffer(b"".join(lost), np.uint64))], width, len(words))
+                    mask = covered(first[np.isin(h, np.frombuffer(lost, np.uint64))], width, len(words))
                     words = [w for w, gone in zip(words, mask.tolist()) if not gone]
                 removed.append(n[-1] - len(words))
                 spans.append(intervals(mask))
