@@ -57,17 +57,25 @@ def held_out(doc_id) -> F.Column:
 
 def samples(docs: DataFrame, limit: int, id_col: str, text_col: str, lang_col: str) -> list:
     """(lang, buckets, counts) of the sample; the features are counted on the executors."""
-    rows = texts(docs, id_col, text_col).withColumn("lang", F.col("text")).limit(0) if lang_col not in docs.columns else texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
-    chosen = rows.where("lang is not null and text is not null").where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
+    rows = texts(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang").where("lang is not null and text is not null").where(~held_out("doc_id"))
+    # Those with the smallest hashes of their ids: a bound that about three times as many meet goes first, so that tasks
+    # pass on few keys; only the chosen keys, at most `limit`, are sent along to pick the texts.
+    share = min(1.0, 3 * limit / max(1, rows.count()))
+    bound = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    place = F.xxhash64("doc_id")
+    near = rows.where(place <= bound).withColumn("key", F.xxhash64("doc_id", "text", "lang"))
+    keys = [r["key"] for r in near.select(place.alias("place"), "key").distinct().orderBy("place", "key").limit(limit).collect()]
+    picked = near.sparkSession.createDataFrame([(k,) for k in keys], "key long")
+    chosen = near.join(F.broadcast(picked), "key", "left_semi").select("doc_id", "text", "lang", "key")
 
     def count(batches):
         for b in batches:
             flat, limits = buffers(b.column(1))
             h, ok = subwords(flat, limits)
             found = [np.unique(h[x:y][ok[x:y]], return_counts=True) for x, y in zip(limits, limits[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype(np.int32).tobytes() for x, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["doc_id", "lang", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype(np.int32).tobytes() for x, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary()), b.column(3)], names=["doc_id", "lang", "buckets", "counts", "key"])
 
-    got = map_arrow(chosen, count, "doc_id long, lang string, buckets binary, counts binary").collect()
+    got = map_arrow(chosen, count, "doc_id long, lang string, buckets binary, counts binary, key long").dropDuplicates(["key"]).collect()
     return [(r.lang, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in sorted(got, key=lambda r: (r.doc_id, r.lang, bytes(r.buckets)))]
 
 
