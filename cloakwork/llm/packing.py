@@ -66,6 +66,8 @@ class Words:
                 ids = np.array(self.library.encode(self.parting[0].join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
                 data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.parting[1])).tolist()
                 got = [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
+            if len(got) != len(some):
+                raise ValueError(f"{len(some)} words were encoded as {len(got)}")
             out.update(zip(some, got))
         return out
 
@@ -73,8 +75,10 @@ class Words:
         """Ids of each document as little-endian unsigned 32-bit integers."""
         if len(self.new) >= self.remember:
             self.new, self.old = {}, self.new
-        odd = [k for k, x in enumerate(documents) if any(t in x for t in self.special)]
-        words = [(x.lower() if self.lowers else x).split() for x in documents]
+        lowered = [x.lower() for x in documents] if self.lowers else documents
+        # The library finds special tokens before it lowers a text; a word that becomes one by lowering is not one.
+        odd = [k for k, (x, y) in enumerate(zip(documents, lowered)) if any(t in x or t in y for t in self.special)]
+        words = [x.split() for x in lowered]
         for k in odd:
             words[k] = []
         found = [list(map(self.new.get, x)) for x in words]
