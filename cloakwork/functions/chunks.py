@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .workers import ship
+
 CHUNKS = "array<struct<offset:int,chunk:string>>"
 
 
@@ -37,6 +39,8 @@ def _overlapping(body: str, size: int, overlap: int) -> list[dict]:
 def by_sentence(body: Column, most: int = 512) -> Column:
     """Chunks of at most `most` characters without overlap, cut after a sentence in the second half, else at a space there."""
 
+    ship()
+
     @F.pandas_udf(CHUNKS)
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _sentences(t, most))
@@ -47,6 +51,8 @@ def by_sentence(body: Column, most: int = 512) -> Column:
 def overlapping(body: Column, size: int = 1000, overlap: int = 100) -> Column:
     """Chunks of at most `size` characters, cut at a space of the last 50, each from `overlap` before the last one's end."""
 
+    ship()
+
     @F.pandas_udf(CHUNKS)
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _overlapping(t, size, overlap))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunks, spans, text
+from ..functions.workers import ship
 from ..plans import catalogue
 from ..plans.settings import Settings
 from . import detect
@@ -39,6 +40,7 @@ def detect_model(docs: DataFrame, backend, id_col: str = "doc_id", text_col: str
     """id, type, value, start, end, confidence, method: a model's spans, chunk by chunk, with offsets in the whole text."""
     pieces = docs.select(id_col, F.explode(chunks.by_sentence(F.col(text_col), most)).alias("c")).select(id_col, "c.offset", "c.chunk")
     kind = docs.schema[id_col].dataType.simpleString()
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend.load()

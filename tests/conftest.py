@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
-os.environ["PYTHONPATH"] = HERE + os.pathsep + os.environ.get("PYTHONPATH", "")
+os.environ.pop("PYTHONPATH", None)  # workers get the package from the driver
 
 SF = "/root/testdata/sf0.001"
 
