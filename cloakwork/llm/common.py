@@ -6,51 +6,80 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text,
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_M1, _M2, _R, _W = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-_shipped: set[str] = set()
+_M1, _M2, _R, _W, _V = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+#: A random number for each byte at each of a word's first places.
+_PLACES = 32
+_TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, _PLACES * 256, np.uint64)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a folder of this process."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = os.environ.get("CLOAKWORK_SHARED")
-        if not where or not os.path.isdir(where):
-            where = os.environ["CLOAKWORK_SHARED"] = tempfile.mkdtemp(prefix="cloakwork-")
+    """This application's folder below that which spark.checkpoint.dir names; it goes when the application ends.
+
+    Where the setting is unset, a folder of this machine serves a local master; on a cluster that is an error.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="cloakwork-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
-    return where.rstrip("/")
+        _folders[app] = f"{where.rstrip('/')}/cloakwork-{app}"
+        fs, path = _hadoop(spark, _folders[app])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _folders[app]
+
+
+def _hadoop(spark: SparkSession, where: str):
+    """The file system of a path or URI, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor loses nothing of it."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor loses nothing of it.
+
+    Spark deletes the write's shuffle files as soon as it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    back.cut_path = path
     return back
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are written, and to which nothing refers any more."""
-    for _ in range(2):  # Python's references go first, the JVM's objects then
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def drop(*cuts: DataFrame) -> None:
+    """Deletes what cut wrote; nothing may read it any more."""
+    for df in cuts:
+        fs, path = _hadoop(df.sparkSession, df.cut_path)
+        fs.delete(path, True)
 
 
 def scan_partitions(df: DataFrame) -> int:
@@ -58,28 +87,33 @@ def scan_partitions(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with batches of few rows, as texts may be long; the package goes along to executors that lack it."""
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    return df.mapInArrow(fn, schema)
+def pieces(batches, most: int = 4 << 20, rows: int = 1024):
+    """The batches' rows in slices of about `most` bytes: Spark bounds a batch by 64 MB, what is made of one here is many times its size."""
+    for b in batches:
+        if b.nbytes <= most and len(b) <= rows:
+            yield b
+            continue
+        size = sum((_sizes(c) for c in b.columns), np.zeros(len(b), np.int64))
+        at = 0
+        total = np.cumsum(size)
+        while at < len(b):
+            last = min(at + rows, max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))))
+            yield b.slice(at, last - at)
+            at = last
 
 
-def ship(spark: SparkSession) -> None:
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="cloakwork-zip-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/cloakwork_package.zip", "w") as z:
-        for d, _, names in os.walk(top):
-            for x in names:
-                if x.endswith(".py"):
-                    z.write(os.path.join(d, x), os.path.relpath(os.path.join(d, x), os.path.dirname(top)))
-    spark.sparkContext.addPyFile(f"{folder}/cloakwork_package.zip")
-    _shipped.add(app)
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Each row's bytes, of columns of strings and bytes; others count as 8."""
+    kind = pa.types
+    if any(f(column.type) for f in (kind.is_string, kind.is_binary, kind.is_large_string, kind.is_large_binary)):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+    return np.full(len(column), 8, np.int64)
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes and rows; the package goes along to workers that lack it."""
+    ship(df.sparkSession)
+    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -120,19 +154,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
-    """A polynomial hash modulo 2^64 of each word's bytes, with its bits spread; at_once: bytes of words looked at together."""
+    """64 bits of each word: the sum of a random number for each byte at its place, or XXH64 of a word over 32 bytes.
+
+    Unlike a polynomial's, its collisions don't depend on how words are made. at_once: bytes of words looked at together.
+    """
     size = ends - starts
-    out, total, k = np.zeros(len(size), np.uint64), np.cumsum(size), 0
-    while k < len(size):
+    out = np.zeros(len(size), np.uint64)
+    long_ = np.flatnonzero(size > _PLACES)
+    for k in long_.tolist():
+        out[k] = xxhash.xxh64_intdigest(flat[starts[k] : ends[k]].tobytes(), 7)
+    short = np.flatnonzero(size <= _PLACES) if len(long_) else None
+    total, k = np.cumsum(size if short is None else size[short]), 0
+    while k < len(total):
         last = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + at_once, "right")))
-        some = size[k:last]
-        powers = np.full(int(some.max()), _R, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
+        which = slice(k, last) if short is None else short[k:last]
+        some = size[which]
         first = np.cumsum(some) - some
         within = np.arange(int(some.sum())) - np.repeat(first, some)
-        values = (flat[np.repeat(starts[k:last], some) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
-        out[k:last] = mix(np.add.reduceat(values, first) + some.astype(np.uint64))
+        out[which] = np.add.reduceat(_TABLE[(within << 8) | flat[np.repeat(starts[which], some) + within]], first)
         k = last
     return out
 
@@ -150,6 +189,17 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.n
     return mix(total[whole]), whole, row[whole]
 
 
+def window_checks(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """32 further bits of each window that starts at one of first: another polynomial, of other hashes of the same words."""
+    if not len(first):
+        return np.zeros(0, np.uint32)
+    other, n = mix(words ^ _R), len(words) - width + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = total * _V + other[k : k + n]
+    return (mix(total[first]) >> np.uint64(32)).astype(np.uint32)
+
+
 def covered(first: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n words lie in a window of width words that starts at one of first."""
     steps = np.zeros(n + 1, np.int64)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -321,13 +322,45 @@ def test_substrings(spark, corpus):
         assert all(a["end"] < b["start"] for a, b in zip(r["removed"], r["removed"][1:]))
 
 
-def test_substring_chunks(spark, monkeypatch):
-    """Many chunks and buckets agree with one."""
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
-    got = rows_of(substrings.dedup(df))
+@pytest.mark.parametrize("how", [{}, {"chunk": 5000, "bits": 4}, {"chunk": 20_000, "bits": 8, "step": 3}, {"chunk": 1, "bits": 5, "step": 2}])
+def test_substring_chunks(spark, how):
+    """Many chunks, buckets and passes agree with one."""
+    df = spark.read.parquet(f"/root/testdata/{'sf0.01' if how.get('chunk') != 1 else 'sf0.001'}/documents.parquet").repartition(7)
+    got = rows_of(substrings.dedup(df, **how))
     same([(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got], plain_substrings(pairs(spark, df)))
 
 
+def balanced(n, letters="ab"):
+    """The Thue-Morse word of length 2^n, and its complement: a polynomial modulo 2^64 can't tell long ones apart."""
+    bits = [k.bit_count() % 2 for k in range(1 << n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_colliding_words(spark, n):
+    """Words that polynomial hashes confuse make neither equal windows across documents nor within one."""
+    x, y = balanced(n)
+    rest = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([x, *rest])), (2, " ".join([y, *rest])), (3, " ".join([y, *rest])), (4, " ".join([x, *rest[:7], y, *rest[:7], *rest[:8]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in rows_of(substrings.dedup(df))}
+    assert got == {d: tuple(v) for d, *v in plain_substrings(rows)}
+    assert [got[k][1] for k in (1, 2, 3)] == [0, 0, 13]
+    assert {r["doc_id"]: r["n_repeat_words"] for r in rows_of(quality.judge(df, np.zeros(quality.BUCKETS)))}[4] == 0
+
+
+def test_settle_by_check():
+    """Windows whose 64 bits agree are told apart by the further 32."""
+    h = np.array([5, 5, 5, 9, 5, 5], np.uint64)
+    x = np.array([1, 2, 1, 7, 2, 1], np.uint32)
+    d = np.array([4, 3, 6, 1, 8, 4], np.int64)
+    once, lost = substrings.settle((h, x, d))
+    same(zip(*map(np.ndarray.tolist, once)), [(5, 1, 4), (5, 2, 3), (9, 7, 1)])
+    same(zip(*map(np.ndarray.tolist, lost)), [(5, 1, 6), (5, 2, 8)])
+    back = substrings.unpack(pa.table({c: [v] for c, v in zip(("hashes", "checks", "ids", "counts"), substrings.pack(once))}))
+    same(zip(*map(np.ndarray.tolist, back)), [(5, 1, 4), (5, 2, 3), (9, 7, 1)])
+
+
 def test_language(spark, corpus):
     got = rows_of(language.identify(corpus))
     learned = {r["lang"] for r in corpus.collect() if r["lang"] is not None}
