@@ -27,6 +27,8 @@ PRIOR = 1 << 18
 TRUSTED = 20_000
 #: Least mean log-likelihood ratio of a kept document.
 LEAST = -0.25
+#: Steps of a ratio that is summed.
+UNIT = 1 << 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _WHITE = np.zeros(256, bool)
@@ -86,6 +88,7 @@ def fit(docs: DataFrame, trusted: list[int], id_col: str = "doc_id", text_col: s
 
 
 def row_sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Each row's sum of whole numbers, or truth values."""
     total = np.concatenate(([0], np.cumsum(values)))
     return total[limits[1:]] - total[limits[:-1]]
 
@@ -105,6 +108,15 @@ def repeated(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return row_sums(covered(first[twice], WINDOW, len(words)), rows)
 
 
+def scores(flat: np.ndarray, limits: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Each row's mean ratio of its n-grams: in whole units of 1 / UNIT, so that a text's score doesn't depend on its neighbours."""
+    h = buckets(flat)
+    ok = inner(limits, len(h))
+    most = np.minimum(limits, len(h))
+    units = np.rint(ratio * UNIT).astype(np.int64)
+    return row_sums(np.where(ok, units[h], 0), most) / UNIT / np.maximum(row_sums(ok, most), 1)
+
+
 def dup_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
     return len(lines) - len(set(lines))
@@ -120,11 +132,7 @@ def judge(docs: DataFrame, ratio: np.ndarray, least: float = LEAST, id_col: str
             n = np.diff(rows)
             chars = row_sums(((flat & 0xC0) != 0x80) & ~_WHITE[flat], limits)
             again = repeated(word_hashes(flat, starts, ends), rows)
-            h = buckets(flat)
-            ok = inner(limits, len(h))
-            most = np.minimum(limits, len(h))
-            grams = row_sums(ok, most)
-            score = row_sums(np.where(ok, ratio[h], 0.0), most) / np.maximum(grams, 1)
+            score = scores(flat, limits, ratio)
             data = flat.tobytes()
             lines = [dup_lines(data[x:y]) for x, y in zip(limits, limits[1:])]
             failed = (n < 20) | (100 * again > 30 * n)
@@ -147,11 +155,7 @@ def keep(docs: DataFrame, ratio: np.ndarray, least: float = LEAST, id_col: str =
             starts, ends, rows = word_spans(flat, limits)
             n = np.diff(rows)
             again = repeated(word_hashes(flat, starts, ends), rows)
-            h = buckets(flat)
-            ok = inner(limits, len(h))
-            most = np.minimum(limits, len(h))
-            score = row_sums(np.where(ok, ratio[h], 0.0), most) / np.maximum(row_sums(ok, most), 1)
-            yield b.filter(pa.array((n >= 20) & (100 * again <= 30 * n) & (score >= least)))
+            yield b.filter(pa.array((n >= 20) & (100 * again <= 30 * n) & (scores(flat, limits, ratio) >= least)))
 
     return map_arrow(docs, run, types)
 

@@ -286,6 +286,16 @@ def test_quality(spark, corpus):
     same(got, want)
 
 
+def test_quality_partitions(spark):
+    """A text's score is the same, bit by bit, whatever rows are beside it."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    twice = docs.unionByName(docs.withColumn("doc_id", language.F.col("doc_id") + 10**6))
+    found = [{(r["doc_id"], r["score"], r["kept"]) for r in rows_of(quality.judge(twice.repartition(n), quality.fit(docs, quality.trusted_ids(labels))))} for n in (1, 7)]
+    assert found[0] == found[1]
+    score = {d: s for d, s, _ in found[0]}
+    assert all(score[d] == score[d + 10**6] for d in score if d < 10**6)
+
+
 def test_quality_verdicts(spark):
     """Documents that the labels call good stay, and most of those that they call bad go."""
     sf = "/root/testdata/sf0.01"
