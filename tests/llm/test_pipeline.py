@@ -1,12 +1,13 @@
 """Each stage of the pipeline against a plain version of it, on what the stage before kept."""
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import plain_components, plain_fingerprint, plain_substrings, same
+from test_operators import plain_substrings, same
+from test_similar import left
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,11 +36,7 @@ def test_stages(spark, request, corpus):
 
     before = rows(kept)
     single = cut(corpus_pipeline.near_dedup(spark, kept, SF), "t2")
-    fps = [plain_fingerprint(t) for _, t in before]
-    groups = defaultdict(list)
-    for (d, _), c in zip(before, plain_components(list(range(len(fps))), fps) if fps else []):
-        groups[c].append(d)
-    same([d for d, _ in rows(single)], [min((d for d in g if d is not None), default=None) for g in groups.values()])
+    same([d for d, _ in rows(single)], left(before))
     assert single.columns == columns
 
     cleaned = cut(corpus_pipeline.substring_dedup(spark, single, SF), "t3")
