@@ -3,14 +3,18 @@
 The words of all documents are shared among the sources by weight; a source's target stops at CAP times its size, and the
 excess is shared again by weight among the others until none is above. Each source's documents are dealt to shards by a
 seeded hash, and a shard's words, in seeded order, are cut into blocks of BLOCK words. Seats, each worth one block, go to
-the sources by highest quotients of target / (2 seats + 1), then a source's seats to its shards likewise, by size. A shard
-with as many seats as blocks takes each block once, with twice as many twice, and so on; the seats left over take the
-blocks that a seeded permutation puts first. So reruns agree, and no block is taken more than CAP times.
-
-Only (doc_id, source, size) is shuffled. A hot source has many shards, so no task gets all of it. The driver gets one row
-a shard, at most SHARDS a source, and at most SOURCES sources (more is an error). Null texts have size 0 and nothing is
-taken of them. The null source is a source of its own, the last. Equal rows are dealt alike but taken each by itself. An
-empty table gives no rows.
+the sources by highest quotients of target / (2 seats + 1), targets counted in the source's blocks, then a source's seats
+to its shards likewise, by size. A shard with as many seats as blocks takes each block once, with twice as many twice, and
+so on; the seats left over take the blocks that a seeded permutation puts first. So reruns agree, and no block is taken more
+than CAP times.
+
+The plan shuffles (doc_id, source, size) alone; `apply` shuffles each row once. A hot source has many shards, so no task
+gets all of it. The driver gets one row a shard: at most SHARDS and one more for each source, of which at most SOURCES are
+mixed (more is an error), so what is broadcast has a bound of some 20 MB. A shard's rows are streamed in order, not held.
+
+Null texts have size 0 and nothing is taken of them. The null source is a source of its own, the last. Rows that share id
+and text are dealt alike but taken each by itself. Extra columns stay as they are, whatever their names. An empty table
+gives no rows. The same rows, seed and block give the same mix on every run.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, texts
+from .common import WORD, cut, drop, texts
 
 WEIGHTS, CAP, BLOCK = (5, 2, 1), 3, 64
-#: Documents a shard, about; most shards a source; most sources.
-SHARD, SHARDS, SOURCES = 4096, 4096, 100_000
+#: Documents a shard, at least about; shards in all, beyond one for each source; most sources.
+SHARD, SHARDS, SOURCES = 4096, 1 << 16, 100_000
 
 
 def shares(sizes: list[float], weights: list[float], cap: float = CAP) -> list[float]:
@@ -80,7 +84,8 @@ def plan(found: list, block: int, weights: tuple, cap: int, seed: int) -> list[t
     sizes = [sum(n for _, n in by[s]) for s in names]
     targets = shares(sizes, [weights[k % len(weights)] for k in range(len(names))], cap)
     blocks = [[-(-n // block) for _, n in by[s]] for s in names]
-    quotas = seats(targets, round(sum(targets) / block), [cap * sum(b) for b in blocks])
+    votes = [t * sum(b) / n if n else 0.0 for t, b, n in zip(targets, blocks, sizes)]  # a shard's last block is short: targets in blocks as they are
+    quotas = seats(votes, round(sum(votes)), [cap * sum(b) for b in blocks])
     out = []
     for s, size, target, quota, b in zip(names, sizes, targets, quotas, blocks):
         for (shard, _), q, n in zip(by[s], seats([x for _, x in by[s]], quota, [cap * x for x in b]), b):
@@ -90,44 +95,64 @@ def plan(found: list, block: int, weights: tuple, cap: int, seed: int) -> list[t
     return out
 
 
-def mix(docs: DataFrame, seed: int = 2, block: int | None = None, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, whole (times that all of the text is taken), spans (start and words of the parts that are taken once more), text_hash.
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    """doc_id, source, size, text_hash and more columns of each row."""
+    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *more)
 
-    block: by default BLOCK words, less if that is over a thousandth of the mean source. Where rows share a doc_id,
-    text_hash tells them apart.
-    """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col, source_col)
-    sized = cut(rows.select("doc_id", F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
-    counts = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(SOURCES + 1).collect()
+
+def _dealt(rows: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
+    """rows with `place` (their seeded hash) and `shard`."""
+    place = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
+    return rows.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("of")), "left").select(*rows.columns, place.alias("place"), F.pmod(place, F.col("shards")).alias("shard"))
+
+
+def _planned(sized: DataFrame, seed: int, block: int, weights: tuple, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The sources' numbers of shards, and the plan of the shards."""
+    spark = sized.sparkSession
+    counts = sized.groupBy("source").agg(F.count("*").alias("rows")).limit(SOURCES + 1).collect()
     if len(counts) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources can't be mixed")
-    block = block or max(1, min(BLOCK, sum(r["size"] for r in counts) // (1000 * max(1, len(counts)))))
-    parts = spark.createDataFrame([(r["source"], max(1, min(SHARDS, -(-r["rows"] // SHARD)))) for r in counts], "of string, shards long")
-    place = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
-    dealt = sized.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("of")), "left").select(*sized.columns, place.alias("place"), F.pmod(place, F.col("shards")).alias("shard"))
-    found = dealt.groupBy("source", "shard").agg(F.sum("size").alias("size")).orderBy("source", "shard").collect()
-    planned = spark.createDataFrame(plan([(r["source"], r["shard"], r["size"]) for r in found], block, weights, cap, seed), "of string, part long, source_size long, target double, whole long, more long, blocks long, step long, shift long")
+    each = max(SHARD, -(-sum(r["rows"] for r in counts) // SHARDS))
+    parts = spark.createDataFrame([(r["source"], -(-r["rows"] // each)) for r in counts], "of string, shards long")
+    found = _dealt(sized, parts, seed).groupBy("source", "shard").agg(F.sum("size").alias("size")).orderBy("source", "shard").collect()
+    planned = plan([(r["source"], r["shard"], r["size"]) for r in found], block, weights, cap, seed)
+    return parts, spark.createDataFrame(planned, "of string, part long, source_size long, target double, whole long, more long, blocks long, step long, shift long")
+
+
+def _placed(rows: DataFrame, parts: DataFrame, planned: DataFrame, seed: int, block: int, *ties: str) -> DataFrame:
+    """rows with source_size, target, whole (times that all words are taken) and spans (start and words of what is taken once more)."""
     # Within a shard: where the document's words start, and which of the blocks that they meet are taken.
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("place"), "place", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("place"), "place", "doc_id", "size", "text_hash", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _dealt(rows, parts, seed).withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     placed = placed.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("part")), "left")
     end = F.col("start") + F.col("size")
     met = F.when((F.col("size") > 0) & (F.col("more") > 0), F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).otherwise(F.array().cast("array<bigint>"))
     chosen = F.filter(met, lambda k: F.pmod(k * F.col("step") + F.col("shift"), F.col("blocks")) < F.col("more"))
     spans = F.transform(chosen, lambda k: F.struct(F.greatest(k * block - F.col("start"), F.lit(0)).alias("start"), (F.least((k + 1) * block, end) - F.greatest(k * block, F.col("start"))).alias("words")))
+    return placed.withColumn("spans", spans).select(*rows.columns, "source_size", "target", "whole", "spans")
+
+
+def mix(docs: DataFrame, seed: int = 2, block: int = BLOCK, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, whole (times that all of the text is taken), spans (start and words of the parts that are taken once more), text_hash."""
+    sized = cut(_rows(docs, id_col, text_col, source_col), "sizes")
+    placed = _placed(sized, *_planned(sized, seed, block, weights, cap), seed, block)
     taken = F.col("whole") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
-    return placed.withColumn("spans", spans).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "whole", "spans", "text_hash")
-
-
-def apply(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself, with the columns of docs: each document's text as often as all of it is taken, and once its words in
-    the spans taken once more, joined by one space. Documents of which nothing is taken go. No two rows of docs may share
-    both id and text."""
-    plan_ = mixed.select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("whole").alias("mix_whole"), F.col("spans").alias("mix_spans")).where("mix_whole > 0 or size(mix_spans) > 0")
-    both = docs.join(plan_, F.col(id_col).cast("long").eqNullSafe(F.col("mix_id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("mix_hash")))
-    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("mix_spans", lambda s: F.slice(F.col("mix_words"), s["start"].cast("int") + 1, s["words"].cast("int")))), " ")
-    copies = F.concat(F.array_repeat(F.col(text_col), F.col("mix_whole").cast("int")), F.when(F.size("mix_spans") > 0, F.array("mix_part")).otherwise(F.array().cast("array<string>")))
-    both = both.withColumn("mix_words", F.when(F.size("mix_spans") > 0, words)).withColumn("mix_part", part).withColumn("mix_text", F.explode(copies))
-    return both.select(*[F.col("mix_text").alias(c) if c == text_col else F.length("mix_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "whole", "spans", "text_hash")
+
+
+def apply(docs: DataFrame, seed: int = 2, block: int = BLOCK, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, with the columns of docs: each row's text as often as all of it is taken, and once its words in the
+    spans taken once more, joined by one space. Rows of which nothing is taken go. It is what `mix` plans with the same
+    arguments; rows travel whole, under one name, so they need not be found again by their values."""
+    sized = cut(_rows(docs, id_col, text_col, source_col), "sizes")
+    made = _planned(sized, seed, block, weights, cap)
+    drop(sized)
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _rows(docs, id_col, text_col, source_col, whole_row.alias("row"), F.xxhash64(whole_row).alias("row_hash"))
+    taken = _placed(rows, *made, seed, block, "row_hash").where("size > 0 and (whole > 0 or size(spans) > 0)").select("row", "whole", "spans", F.col("row").getField(text_col).cast("string").alias("text"))
+    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("words"), s["start"].cast("int") + 1, s["words"].cast("int")))), " ")
+    copies = F.concat(F.array_repeat("text", F.col("whole").cast("int")), F.when(F.size("spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    found = taken.withColumn("words", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).select("row", F.explode(copies).alias("new"))
+    new = {text_col: F.col("new"), "n_chars": F.length("new").cast("long")}
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

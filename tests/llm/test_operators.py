@@ -106,12 +106,55 @@ def test_seats():
         assert mixing.seats(votes, total, most) == out
 
 
-def test_mix_applied(spark, docs):
-    mixed = mixing.mix(docs)
-    got = Counter()
-    for r in mixing.apply(docs, mixed).collect():
-        got[r["doc_id"]] += len(WORD.findall(r["text"]))
-    assert got == Counter({r["doc_id"]: r["taken"] for r in mixed.collect() if r["taken"]})
+def test_mix_applied(spark, corpus):
+    """What apply gives is what mix plans, copy by copy; other columns stay, whatever their names."""
+    names = ["mix_id", "mix_hash", "mix_whole", "mix_spans", "mix_words", "mix_part", "mix_text", "row", "spans", "new", "size", "place", "of", "start"]
+    docs = corpus.withColumns({c: language.F.concat(language.F.lit(f"{c} "), language.F.coalesce(language.F.col("text"), language.F.lit("-"))) for c in names})
+    for block in (64, 3):
+        want = Counter()
+        words = defaultdict(list)
+        for d, t in pairs(spark, corpus):
+            words[d].append(t)
+        taken = defaultdict(int)
+        for r in rows_of(mixing.mix(docs, block=block)):
+            taken[r["doc_id"]] += r["taken"]
+            (text,) = {t for t in words[r["doc_id"]] if len(WORD.findall(t or "")) == r["size"]} if len(words[r["doc_id"]]) > 1 else words[r["doc_id"]]
+            want[r["doc_id"], text] += r["whole"] if r["size"] else 0
+            if r["spans"]:
+                w = WORD.findall(text)
+                want[r["doc_id"], " ".join(x for s in r["spans"] for x in w[s["start"] : s["start"] + s["words"]])] += 1
+        out = rows_of(mixing.apply(docs, block=block))
+        assert Counter((r["doc_id"], r["text"]) for r in out) == +want
+        got = Counter()
+        for r in out:
+            got[r["doc_id"]] += len(WORD.findall(r["text"]))
+            assert r["n_chars"] == len(r["text"])
+            whole = [t for t in words[r["doc_id"]] if t is not None]
+            assert any(all(r[c] == f"{c} {t}" for c in names) for t in whole)
+        assert got == Counter({d: n for d, n in taken.items() if n})
+
+
+def test_mix_repeated(spark):
+    """Equal rows are taken each by itself."""
+    text = " ".join(f"w{k}" for k in range(7))
+    rows = [(1, text, "a")] * 2 + [(2, "x y z", "b"), (None, text, "a"), (None, text, "a"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        mixed = rows_of(mixing.mix(docs, seed=seed, block=2))
+        out = rows_of(mixing.apply(docs, seed=seed, block=2))
+        assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in mixed)
+        for d in (1, 2, None):
+            assert sum(len(r["text"].split()) for r in out if r["doc_id"] == d) == sum(r["taken"] for r in mixed if r["doc_id"] == d)
+
+
+def test_mix_shards(spark, docs, monkeypatch):
+    """Many shards give each source its target as well."""
+    monkeypatch.setattr(mixing, "SHARD", 5)
+    taken, target = defaultdict(int), {}
+    for r in rows_of(mixing.mix(docs, block=8)):
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 0.02 * t + 200 for s, t in target.items())
 
 
 def plain_fingerprint(text):
