@@ -121,6 +121,25 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(c) for c in more])
 
 
+def row_hashes(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """h1, h2: 128 bits of a row, from all its columns."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return [F.xxhash64(F.lit(k), F.col(id_col).cast("long"), F.col(text_col).cast("string"), every).alias(f"h{k}") for k in (1, 2)]
+
+
+def first_of(members: DataFrame) -> DataFrame:
+    """h1, h2 of one row for each value of root: that with the smallest doc_id (nulls last), then the smallest hashes."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("first")
+    return members.groupBy("root").agg(least).select("first.h1", "first.h2")
+
+
+def picked(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, all columns, whose h1 and h2 are chosen; of rows that are equal in all columns, one."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_hashes(docs, id_col, text_col))
+    found = rows.join(chosen, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """Each row's UTF-8 bytes; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from cloakwork.llm import bpe, language, licenses, media, mixing, packing, quality, queries, simhash, substrings, urls
+from cloakwork.llm import bpe, language, licenses, media, mixing, packing, quality, queries, simhash, similar, substrings, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -229,6 +229,29 @@ def test_representatives(spark, corpus):
     same([r["doc_id"] for r in got], [min((d for d in g if d is not None), default=None) for g in groups.values()])
 
 
+def test_representatives_further_columns(spark):
+    """Rows equal in id and text are told apart by their other columns, the same on each run; equal ones are one."""
+    text = "one two three four five six seven eight"
+    rows = [(1, text, c) for c in "dbca"] + [(1, text, "a"), (None, text, "z"), (2, "other " * 9, None), (2, "other " * 9, None)]
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(n)
+        for found in (simhash.representatives(df), similar.representatives(df)):
+            got = sorted((r["doc_id"], r["row"]) for r in found.collect())
+            assert [d for d, _ in got] == [1, 2] and got[0][1] in "abcd"
+            if n == 1:
+                seen = got
+            assert got == seen
+
+
+def test_blocks(spark):
+    """Any two bits leave one choice of blocks untouched."""
+    masks = [m & (2**64 - 1) for m in simhash.block_masks()]
+    assert len(masks) == 10
+    for a in range(64):
+        for b in range(a + 1):
+            assert any(not m >> a & 1 and not m >> b & 1 for m in masks)
+
+
 PAGES = [None, "", "no scheme", "http://", "http://Org/", "https://www.EXAMPLE.org/es/12?x=/de/", "http://example.org/en/1203#top", "http://example.org/en/", "http://x.org", "http://x.org?/", "http://a.com/fr/1", "http://com/de/", "http://xcom/de/", "http://x.net/de/1",
          "ftp://example.org/es", "http://.org/x", "http://org./x", "http://example.org:80/es/1", "http://b.c.d.example.org/es/\n/x", "a://b://org/x", "http://notexample.org/es/1", "http://example.org/es/1", "http://example.org/es/1", "://org/\u00e9"]
 
