@@ -7,11 +7,11 @@ A file holds documents in ascending doc_id order, cut into blocks of BLOCK ids (
     | footer: uint64 blocks, documents, ids; uint32 bits, uint32 BLOCK; magic
 
 All numbers are little-endian. `bits` is the least that the vocabulary needs. A block's offset gives random access to any
-id; numpy unpacks whole blocks at once. Documents are dealt by ranges of doc_id, sorted, encoded and written by one task a
-range. A file gets its own name first and its lasting one when it is whole, so that a task may be run again or twice.
+id; numpy unpacks whole blocks at once. Documents are dealt by ranges of doc_id and a hash of the text (so that one id, or
+null, may hold many rows), sorted, encoded and written by one task a range. A file gets its own name first and its lasting one when it is whole, so that a task may be run again or twice.
 
 Null texts count as empty, and have the end id alone. A null doc_id comes first and is stored as the least number of 64
-bits. Rows of one doc_id follow each other, equal ones in any order (they are equal). An empty table gives no file with
+bits. Rows of one doc_id follow each other by that hash. An empty table gives no file with
 documents and no rows. Other columns are left out.
 """
 
@@ -217,14 +217,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = Non
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{part:06d}-{name}.tok"], "n_docs": [len(writer.docs)], "n_ids": [writer.ids]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = texts(docs, id_col, text_col)
-    ranged = rows.repartitionByRange(2 * scan_partitions(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(2 * scan_partitions(rows), *order).sortWithinPartitions(*order)
     return cut(map_arrow(ranged.withColumn("part", F.spark_partition_id()), run, "part int, path string, n_docs long, n_ids long"), "token-files")
 
 
-def read(files: DataFrame) -> DataFrame:
+def read(files: DataFrame, at_once: int = 1 << 20) -> DataFrame:
     """doc_id, start (ids of all documents before it, over all files), ids (binary: little-endian unsigned 32-bit integers).
 
-    The files' ids are summed in order on the driver: one small row a file, no more of them than tasks that wrote.
+    The files' ids are summed in order on the driver: one small row a file, no more of them than tasks that wrote. at_once:
+    ids unpacked together, or those of one document if it has more.
     """
     spark = files.sparkSession
     at, firsts = 0, []
@@ -238,8 +240,10 @@ def read(files: DataFrame) -> DataFrame:
                 store, where = opened(path)
                 with store.open_input_file(where) as f:
                     r = Reader(f)
-                    for k in range(0, len(r.docs), 1024):
-                        last = min(k + 1024, len(r.docs))
+                    last = 0
+                    while last < len(r.docs):
+                        k = last
+                        last = min(k + 1024, max(k + 1, int(np.searchsorted(r.firsts, r.firsts[k] + np.uint64(at_once), "right")) - 1))
                         first = int(r.firsts[k])
                         ids = r.span(first, int(r.firsts[last])).astype("<u4")
                         cuts = (r.firsts[k : last + 1] - r.firsts[k]).astype(np.int64)

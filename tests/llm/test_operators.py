@@ -327,6 +327,7 @@ def test_packing(spark, corpus):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     files = packing.write(corpus, public_tokenizers.path("word_bpe_49k.json"), packing.token_folder(spark), end_id=1)
     got = sorted(rows_of(packing.read(files)), key=lambda r: r["start"])
+    same(got, rows_of(packing.read(files, at_once=7)))
     at = 0
     for r in got:
         assert r["start"] == at
@@ -337,6 +338,33 @@ def test_packing(spark, corpus):
     same([(r["doc_id"], bytes(r["ids"])) for r in got], want)
 
 
+def test_packing_one_id(spark):
+    """Rows of one id, or none, are dealt to many files and come back whole and in order."""
+    rows = [(5, f"text {k} of one id") for k in range(300)] + [(None, f"nameless {k}") for k in range(300)] + [(9, "last"), (1, "first")]
+    files = packing.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), public_tokenizers.path("word_bpe_49k.json"), packing.token_folder(spark))
+    assert sum(f["n_docs"] > 0 for f in files.collect()) > 2 and max(f["n_docs"] for f in files.collect()) < 300
+    got = sorted(rows_of(packing.read(files)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [1] + [5] * 300 + [9]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    same([(r["doc_id"], bytes(r["ids"])) for r in got], [(d, np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) for d, t in rows])
+
+
+def test_packing_odd_width(spark, tmp_path):
+    """Files of a width that is no whole number of bytes, through Spark: a small vocabulary in a file of its own."""
+    from tokenizers import Tokenizer as T, models, pre_tokenizers
+
+    vocabulary = {w: k for k, w in enumerate(["?", *[f"w{k}" for k in range(90)]])}
+    small = T(models.WordLevel(vocabulary, unk_token="?"))
+    small.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    small.save(str(tmp_path / "small.json"))
+    rows = [(k, " ".join(f"w{(k * j) % 90}" for j in range(k * 37 % 6000))) for k in range(40)]
+    files = packing.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "small.json"), packing.token_folder(spark), end_id=100)
+    got = sorted(rows_of(packing.read(files)), key=lambda r: r["start"])
+    assert [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got] == [(d, [*(vocabulary[w] for w in t.split()), 100]) for d, t in rows]
+    with open(files.collect()[0]["path"].removeprefix("file:"), "rb") as f:
+        assert packing.from_bytes(f.read()).bits == 7
+
+
 def test_quality(spark, corpus):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = [tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in rows_of(quality.quality(corpus, labels))]
