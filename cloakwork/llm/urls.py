@@ -6,10 +6,12 @@ answers exactly, for every key in the corpus, whether it is listed: level 1 is a
 one of those keys in the universe that level 1 takes for listed but are not, level 3 one of the listed keys that level 2
 takes for those, and so on until a level is mistaken for none. A key is listed if the first level that lacks it is an even
 one. A second cascade, over the listed keys, tells those that block from those that allow. Levels are built in Spark: of
-each level only the words of its bit array reach the driver (bounded by its bits, which follow the keys encoded), and they
-become literals in the plan, so looking a key up joins nothing.
+each level only the words of its bit array reach the driver, and they become a literal in the plan, so looking a key up
+joins nothing.
 
-Levels have at most MAX_BITS bits, which is the bound of what is sent along; more listed keys than fit make more levels.
+A level has 2 sqrt(n u) bits, or 8 n if that is more, for n keys to encode and u keys to tell them from, in powers of two:
+with two hashes it then mistakes at most about n keys, so levels don't grow with the universe (0.5 million bits for 5 rules and 10^10 keys). MAX_BITS bounds
+what is sent along; where it is not enough there are more levels.
 A null URL, or one without `://`, has empty host and path, no key, and is allowed. Equal URLs get equal results; repeated
 rows and extra columns do not matter. An empty table gives no rows. A URL that no rule fits is allowed by the cascade, as
 none of its keys is listed.
@@ -75,12 +77,13 @@ def positions(key: Column, level: Level | tuple[int, int]) -> list[Column]:
 
 def within(key: Column, level: Level) -> Column:
     """Whether the level's filter takes the key."""
-    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")  # folded to one literal
-    tests = [F.getbit(F.element_at(words, (p / 64).cast("int") + 1), (p % 64).cast("int")) == 1 for p in positions(key, level)]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
+
+    def both(w: Column) -> Column:
+        first, second = (F.getbit(F.element_at(w, (p / 64).cast("int") + 1), (p % 64).cast("int")) == 1 for p in positions(key, level))
+        return first & second
+
+    return F.element_at(F.transform(F.array(words), both), 1)  # the words are folded to one literal, met once
 
 
 def listed(key: Column, levels: list[Level]) -> Column:
@@ -91,10 +94,10 @@ def listed(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def level(keys_in: DataFrame, n: int, seed: int) -> Level:
-    """A Bloom filter of the column key of keys_in, of which there are n."""
+def level(keys_in: DataFrame, n: int, others: int, seed: int) -> Level:
+    """A Bloom filter of the column key of keys_in, of which there are n, to be told from so many others."""
     bits = MIN_BITS
-    while bits < MAX_BITS and bits < 8 * n:
+    while bits < MAX_BITS and (bits < 8 * n or bits**2 < 4 * n * others):
         bits *= 2
     at = F.explode(F.array(*positions(F.col("key"), (bits, seed)))).alias("at")
     words = keys_in.select(at).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("set"))
@@ -113,14 +116,14 @@ def cascade(members: DataFrame, universe: DataFrame) -> list[Level]:
     inside, outside = members, universe.join(members, "key", "left_anti").distinct() if len(members.take(1)) else universe
     levels: list[Level] = []
     mine, other = inside, outside
-    n = mine.count()
+    n, others = mine.count(), other.count()
     while n and len(levels) < MAX_LEVELS:
-        now = level(mine, n, len(levels) + 1)
+        now = level(mine, n, others, len(levels) + 1)
         levels.append(now)
         # What this level mistakes for its own is what the next one encodes.
         mistaken = other.where(within(F.col("key"), now))
         mine, other = mistaken, mine
-        n = mine.count()
+        n, others = mine.count(), n
     if n:
         raise ValueError(f"{n} keys are still mistaken after {MAX_LEVELS} levels; raise MAX_BITS")
     return levels
