@@ -28,6 +28,7 @@ _M1, _M2, _R, _W, _V = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133
 _PLACES = 32
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "8m"
 _folders: dict[str, str] = {}
 
 
@@ -111,8 +112,14 @@ def _sizes(column: pa.Array) -> np.ndarray:
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInArrow over batches of bounded bytes and rows; the package goes along to workers that lack it."""
-    ship(df.sparkSession)
+    """mapInArrow over batches of bounded bytes and rows; the package goes along to workers that lack it.
+
+    A session that leaves the bytes of a batch at Spark's default gets BATCH, as both sides hold a batch more than once.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
