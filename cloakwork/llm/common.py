@@ -28,7 +28,7 @@ _M1, _M2, _R, _W, _V = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133
 _PLACES = 32
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "8m"
+BATCH = "2m"
 _folders: dict[str, str] = {}
 
 
@@ -88,7 +88,7 @@ def scan_partitions(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
-def pieces(batches, most: int = 4 << 20, rows: int = 1024):
+def pieces(batches, most: int = 1 << 20, rows: int = 1024):
     """The batches' rows in slices of about `most` bytes: Spark bounds a batch by 64 MB, what is made of one here is many times its size."""
     for b in batches:
         if b.nbytes <= most and len(b) <= rows:
@@ -179,7 +179,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
     """64 bits of each word: the sum of a random number for each byte at its place, or XXH64 of a word over 32 bytes.
 
     Unlike a polynomial's, its collisions don't depend on how words are made. at_once: bytes of words looked at together.

@@ -28,7 +28,7 @@ from .common import buffers, covered, cut, map_arrow, mix, scan_partitions, text
 
 WIDTH = 13
 #: Words whose windows a task sorts together.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bits of the hash by which entries are dealt in one pass.
 STEP = 12
 PACKED = "hashes binary, checks binary, ids binary, counts binary"
@@ -79,11 +79,12 @@ def settle(e: Entries) -> tuple[Entries, Entries]:
     if not len(h):
         return e, e
     order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    if (same & (x[order][1:] != x[order][:-1])).any():  # windows that agree in the hash alone
-        order = np.lexsort((x, h))
-        same = h[order][1:] == h[order][:-1]
     h, x, d = h[order], x[order], d[order]
+    same = h[1:] == h[:-1]
+    if (same & (x[1:] != x[:-1])).any():  # windows that agree in the hash alone
+        order = np.lexsort((x, h))
+        h, x, d = h[order], x[order], d[order]
+        same = h[1:] == h[:-1]
     new = np.concatenate(([True], ~same | (x[1:] != x[:-1])))
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(d, first)
@@ -93,7 +94,10 @@ def settle(e: Entries) -> tuple[Entries, Entries]:
 
 def dealt(parts: list[Entries], bits: int) -> list[tuple]:
     """A chunk's rows: its windows by bucket, and those that documents lose within it as one row more."""
-    (h, x, d), lost = settle(joined(parts))
+    whole = joined(parts)
+    parts.clear()  # they are the most that a worker holds
+    (h, x, d), lost = settle(whole)
+    del whole
     cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits <= STEP else None
     if cuts is None:  # most buckets of so many have none of the chunk
         top = (h >> np.uint64(64 - bits)).astype(np.int64)
