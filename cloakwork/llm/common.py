@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text,
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -120,7 +121,23 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
+
+    def run(batches):
+        try:
+            yield from fn(pieces(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns what a worker no longer uses to the system, as the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
 
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
