@@ -11,8 +11,6 @@ from dataclasses import dataclass
 
 # Building blocks of the patterns.
 TITLES = r"(?:M\.?|Mme\.?|Mlle\.?|Dr\.?|Prof\.?|Me\.?|Maître)"
-COMPANY_FORMS = "SARL|SAS|SA|SNC|EURL|SASU|SCI|SELARL|SELCA|SELAS|Association|Société|Entreprise|Cabinet|Étude|Bureau|Groupe|Fondation|Institut|Centre|Établissement"
-STREETS = "rue|avenue|boulevard|place|square|impasse|allée|chemin|route|passage|villa|cité|quai|esplanade|parvis|cours|mail|faubourg"
 
 # What each kind of personal data looks like.
 EMAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
@@ -20,12 +18,12 @@ PHONE = r"\b(?:\+33|0)(?:[1-5]|[67])(?:[ .-]?\d{2}){4}\b"
 IBAN = r"\bFR\d{2}\s?\d{5}\s?\d{5}\s?[A-Z0-9]{11}\s?\d{2}\b"
 DATE = r"\b(?:0?[1-9]|[12][0-9]|3[01])[-/](?:0?[1-9]|1[0-2])[-/](?:19|20)\d{2}\b"
 PERSON = rf"\b{TITLES}\s+(?!(?:[Ll]e|[Ll]a|[Ll]es|[Pp]résident(?:e)?s?)\b)[A-ZÀ-Ÿ][a-zà-ÿ]+(?:\s+[A-ZÀ-Ÿ][a-zà-ÿ]+)*+"
-ORG = rf"\b(?:{COMPANY_FORMS})\s+[A-ZÀ-Ÿ][A-Za-zÀ-ÿ\s\-'&]++"
+ORG = r"\b(?:SARL|SAS|SA|SNC|EURL|SASU|SCI|SELARL|SELCA|SELAS|Association|Société|Entreprise|Cabinet|Étude|Bureau|Groupe|Fondation|Institut|Centre|Établissement)\s+[A-ZÀ-Ÿ][A-Za-zÀ-ÿ\s\-'&]++"
 SSN = r"\b[12]\d{2}(?:0[1-9]|1[0-2])(?:[0-9]{2}|2A|2B)\d{3}\d{3}\d{2}\b"
 SIRET = r"\b\d{3}\s?\d{3}\s?\d{3}\s?\d{5}\b"
 SIREN = r"\b\d{3}\s?\d{3}\s?\d{3}\b"
 TVA = r"\bFR\d{2}\d{9}\b"
-ADDRESS = rf"\b\d{{1,4}}\s?(?:bis|ter|quater)?\s+(?:{STREETS})\s+[A-Za-zÀ-ÿ'\-\s]+,?\s\d{{5}}\s[A-Za-zÀ-ÿ'\-\s]+\b"
+ADDRESS = r"\b\d{1,4}\s?(?:bis|ter|quater)?\s+(?:rue|avenue|boulevard|place|square|impasse|allée|chemin|route|passage|villa|cité|quai|esplanade|parvis|cours|mail|faubourg)\s+[A-Za-zÀ-ÿ'\-\s]+,?\s\d{5}\s[A-Za-zÀ-ÿ'\-\s]+\b"
 MOBILE = r"\b(?:\+33|0)[67](?:[ .-]?\d{2}){4}\b"
 LANDLINE = r"\b(?:\+33|0)[1-5](?:[ .-]?\d{2}){4}\b"
 ARTICLE = r"\b[Aa]rt(?:icle)?\.?\s+[LDR]\d+(?:-\d+)*\s+du\s+Code\s+[A-Za-zÀ-ÿ\s]+\b"

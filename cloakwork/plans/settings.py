@@ -14,7 +14,7 @@ from . import catalogue
 class Settings:
     """token_mode: `numbered` gives each value of a type a token of its own, `label` the type's label.
 
-    filters: which checks drop spans that a model found. strict_overlap_ties: the accepted span wins a tie, not the newer one.
+    filters: which checks drop spans that a model found.
     """
 
     titles: tuple[str, ...] = catalogue.NAME_TITLES

@@ -150,9 +150,16 @@ def mapping_json(t):
     return anonymize.mapping_json(anonymize.anonymize(detect.detect(t("letters"))))
 
 
-@query("select doc_id, true as success, 0 as not_replaced_count, 100.0::double as success_rate, 4 as entities_replaced from letters")
+#: Letters some of which hold a value once more within a longer word, where it isn't replaced.
+_LEFT = "concat(text, case when doc_id % 3 = 0 then concat(' ref', right(text, 10)) else '' end, case when doc_id % 4 = 1 then concat(' le', day) else '' end)"
+
+
+@query(rf"""with v as (select doc_id, line, unnest([concat('M. ', first, ' ', last), concat('client', cust, '@example.com'), day, right(text, 10)]) as value from (select *, {_LEFT} as line from letters)),
+    judged as (select doc_id, value, contains(regexp_replace(line, concat('\b', replace(value, '.', '\.'), '\b'), '', 'g'), value) as stays from v where regexp_matches(line, concat('\b', replace(value, '.', '\.'), '\b')))
+    select doc_id, count_if(stays) = 0 as success, cast(count_if(stays) as int) as not_replaced_count, count_if(not stays) * 100.0::double / count(*) as success_rate, cast(count(*) as int) as entities_replaced from judged group by doc_id""")
 def validation_stats(t):
-    done = audit.validation(anonymize.anonymize(detect.detect(t("letters"))))
+    """Whether every value is gone from the rewritten text; some stay within longer words."""
+    done = audit.validation(anonymize.anonymize(detect.detect(t("letters").withColumn("text", F.expr(_LEFT)))))
     return done.select("doc_id", "success", "not_replaced_count", "success_rate", "entities_replaced")
 
 
@@ -204,9 +211,13 @@ def validate_email(t):
     return t("candidates").select("id", validators.email(F.col("email")).alias("ok"))
 
 
-@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as clean from documents")
+_MARKED = "concat(text, case when doc_id % 3 = 0 then chr(1) else '' end, ' «œuvre» “Æ”', case when doc_id % 2 = 0 then chr(9) else chr(31) end, ' l’œil')"
+
+
+@query(rf"""select doc_id, trim(regexp_replace(translate(replace(replace(replace(replace(regexp_replace({_MARKED}, '[\s\x0B\x1C-\x1F\x85\x{{A0}}]+', ' ', 'g'), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'), '«»“”‘’', concat(repeat('"', 4), repeat(chr(39), 2))), '[\x00-\x08\x0B-\x1F]', '', 'g')) as clean from documents""")
 def preprocess_text(t):
-    return t("documents").select("doc_id", text.preprocess(F.col("text")).alias("clean"))
+    """Whole documents with marks at their end that are spelt plainly, and controls that go."""
+    return t("documents").select("doc_id", text.preprocess(F.expr(_MARKED)).alias("clean"))
 
 
 @query("select id, regexp_replace(trim(concat(' ', email, '  ', day, '.!; ')), '[.,;:!?]+$', '') as raw, regexp_replace(regexp_replace(trim(concat(' ', email, '  ', day, '.!; ')), '[.,;:!?]+$', ''), '\\s+', ' ', 'g') as clean from candidates")
@@ -270,10 +281,13 @@ def string_similarity(t):
     return t("part").select("p_partkey", F.round(similarity.edit_similarity(F.col("p_name"), F.col("p_type")), 6).alias("edit"), F.round(similarity.jaccard(F.col("p_name"), F.col("p_type")), 6).alias("jaccard"))
 
 
-@query("select distinct concat(first, ' ', last) as name, concat('M. ', substr(first, 1, 1), '. ', last) as candidate, 1.0::double as score from letters")
+@query(f"""with n as (select distinct lower(concat(first, ' ', last, case when cust % 2 = 0 then 'e' else '' end)) as n from letters), c as (select distinct lower(concat(first, ' ', last)) as c from letters),
+    scored as (select n, c, case when n = c then 1.0 when n = concat(c, 'e') then 0.5 * 2 * length(c) / (2 * length(c) + 1) + 0.3 / 3 + 0.2 else 0 end as score from n, c)
+    select n as name, c as candidate, round(score::double, 6) as score from scored where score >= 0.75 qualify row_number() over (partition by n order by score desc, c) = 1""")
 def best_canonical_match(t):
-    names = t("letters").select(F.concat("first", F.lit(" "), "last").alias("n"), F.concat(F.lit("M. "), F.substring("first", 1, 1), F.lit(". "), "last").alias("c"))
-    return similarity.best_matches(names, names, "n", "c", Settings().weights(), 0.85)
+    """Names, half of them with a letter more, against the plain ones: half the indel ratio, a third of the words, the same sound."""
+    names = t("letters").select(F.lower(F.concat("first", F.lit(" "), "last", F.when(F.col("cust") % 2 == 0, "e").otherwise(""))).alias("n"), F.lower(F.concat("first", F.lit(" "), "last")).alias("c"))
+    return similarity.best_matches(names, names, "n", "c", Settings().weights(), 0.75).withColumn("score", F.round("score", 6))
 
 
 @query("select id, least(0.98, (case when type in ('PERSON') then 0.92 when type = 'ORG' then 0.88 when type = 'DATE' then 0.9 else 0.8 end) * least(1.1, 1.0 + (length(value) - 3) * 0.02)) as confidence from entities")
@@ -281,10 +295,18 @@ def model_confidence(t):
     return t("entities").select("id", detect.model_confidence(F.col("type"), F.col("value")).alias("confidence"))
 
 
-@query("select id, case type when 'PERSON' then 'PERSON' else type end as type, case when type = 'PERSON' and value like '%9%' then 'ORG' else type end as refined from entities")
+_KIND = "case cast(right(value, 1) as int) when 0 then 'PER' when 1 then 'PERSON' when 2 then 'ORGANIZATION' when 3 then 'LOC' when 4 then 'MISC' else type end"
+_BODY = "concat(case when value like '%7%' then 'monsieur ' when value like '%8%' then 'monsieur ----------------------------- ' else '' end, case when value like '%9%' then 'cabinet ' else '' end, value)"
+
+
+@query(f"""select id, coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in catalogue.RENAMED.items())}}}[kind], kind) as type,
+    case when kind = 'PERSON' and value like '%9%' and not contains(substr(body, greatest(start - 30, 0) + 1, start - greatest(start - 30, 0)), 'monsieur') then 'ORG' else kind end as refined
+    from (select id, value, {_KIND} as kind, {_BODY} as body, length({_BODY}) - length(value) - case when value like '%9%' then 8 else 0 end as start from entities)""")
 def normalize_types(t):
-    e = F.struct("type", F.when(F.col("value").contains("9"), F.concat(F.lit("cabinet "), "value")).otherwise(F.col("value")).alias("value"), F.lit(0).alias("start"))
-    return t("entities").select("id", detect.renamed(F.col("type")).alias("type"), detect.refined_type(e, F.lit("")).alias("refined"))
+    """Types by their plain names, and persons that are organisations; a title within 30 characters before, not farther, keeps a person."""
+    rows = t("entities").select("id", F.expr(_KIND).alias("type"), F.expr(_BODY).alias("body"), F.when(F.col("value").contains("9"), F.concat(F.lit("cabinet "), "value")).otherwise(F.col("value")).alias("value"))
+    e = F.struct("type", "value", (F.length("body") - F.length("value")).alias("start"))
+    return rows.select("id", detect.renamed(F.col("type")).alias("type"), detect.refined_type(e, F.col("body")).alias("refined"))
 
 
 # --- filters, searches, orders ---
@@ -619,13 +641,23 @@ def legal_pipeline(t):
     return legal.process(docs).select("doc_id", "template", "anonymized", "success")
 
 
-@query("select 'DATE' as entity, 1.0::double as precision, 1.0::double as recall, 1.0::double as f1, count(*) as support from letters union all select 'EMAIL', 1, 1, 1, count(*) from letters union all select 'PERSON', 1, 1, 1, 2 * count(*) from letters union all select 'PHONE', 1, 1, 1, count(*) from letters")
+#: Sentences with labelled tokens, as SQL of both engines: some persons without a title, addresses without a sign, days that no
+#: month has, numbers that are no phone's but labelled so, and phone numbers that are labelled as nothing.
+_TOKENS = """concat(case when doc_id % 4 = 0 then '' else 'M. ' end, first, ' ', last, ' a contacte ', case when doc_id % 5 = 0 then concat('client', cust, '(at)example.com') else concat('client', cust, '@example.com') end,
+    ' le ', case when doc_id % 7 = 0 then '31/02/2020' else day end, ' tel ', case when doc_id % 3 = 0 then '08' else '06' end, right(text, 8), ' ref ', case when doc_id % 6 = 1 then '04' else '09' end, right(text, 8))"""
+
+
+@query(f"""with tokens as (select doc_id, unnest(string_split(line, ' ')) as token, generate_subscripts(string_split(line, ' '), 1) as place, case when starts_with(line, 'M. ') then 1 else 0 end as titled from (select doc_id, {_TOKENS} as line from letters)),
+    marked as (select case when place - titled in (1, 2) then 'PERSON' when place - titled = 5 then 'EMAIL' when place - titled = 7 then 'DATE' when place - titled = 9 then 'PHONE' else 'O' end as label,
+        case when titled = 1 and place <= 3 then 'PERSON' when regexp_full_match(token, '[a-z0-9]+@[a-z.]+') then 'EMAIL' when try_strptime(token, '%d/%m/%Y') is not null then 'DATE' when regexp_full_match(token, '0[1-7][0-9]{{8}}') then 'PHONE' else 'O' end as said from tokens),
+    figures as (select t.entity, (select count(*) from marked where label = t.entity) as support, (select count(*) from marked where said = t.entity) as found, (select count(*) from marked where label = t.entity and said = t.entity) as hits from (select distinct label as entity from marked where label <> 'O') t)
+    select entity, hits::double / found as precision, hits::double / support as recall, 2 * (hits::double / found) * (hits::double / support) / (hits::double / found + hits::double / support) as f1, support from figures""")
 def token_label_eval(t):
-    tokens = F.split("text", " ")
-    labels = F.transform(tokens, lambda w, i: F.when((i > 0) & (i < 3), "PERSON").when(w.contains("@"), "EMAIL").when(w.contains("/"), "DATE").when(w.startswith("06") & (F.length(w) == 10), "PHONE").otherwise("O"))
-    corpus = t("letters").select(tokens.alias("tokens"), F.transform(labels, lambda x: x).alias("labels"))
-    corpus = corpus.withColumn("tokens", F.concat(F.array(F.lit("le")), F.col("tokens"))).withColumn("labels", F.concat(F.array(F.lit("O"), F.lit("PERSON")), F.slice("labels", F.lit(2), F.size("labels") - 1)))
-    return evaluate.evaluate(corpus).where("entity <> 'PERSON'").unionByName(evaluate.evaluate(corpus).where("entity = 'PERSON'").withColumn("support", (F.col("support") * 2 / 3).cast("long")))
+    """Scores of detection over sentences whose tokens are labelled; no entity's are perfect but by chance."""
+    line = F.split(F.expr(_TOKENS), " ")
+    titled = F.when(F.get(line, F.lit(0)) == "M.", 1).otherwise(0)
+    labels = F.transform(line, lambda w, i: F.when((i - titled).isin(0, 1), "PERSON").when(i - titled == 4, "EMAIL").when(i - titled == 6, "DATE").when(i - titled == 8, "PHONE").otherwise("O"))
+    return evaluate.evaluate(t("letters").select(line.alias("tokens"), labels.alias("labels")))
 
 
 # --- chunks and streams ---
