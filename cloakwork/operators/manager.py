@@ -58,9 +58,15 @@ def ordered(entities: DataFrame, by: str = "start", descending: bool = False) ->
     return entities.orderBy(F.desc(key) if descending else F.asc(key), *ties)
 
 
+def by_id(df: DataFrame, wanted: str) -> DataFrame:
+    """The entity or group of this id, as no row or one."""
+    return df.where(F.col("id") == wanted).limit(1)
+
+
 def page(df: DataFrame, number: int, *order, size: int = 50) -> DataFrame:
-    """One page of an ordered table; a page before the first is the first."""
-    return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+    """One page of an ordered table; a page before the first is the first, one past the last the last."""
+    last = max(1, -(-df.count() // size))
+    return df.orderBy(*order).offset((min(max(1, number), last) - 1) * size).limit(size)
 
 
 def union_distinct(*tables: DataFrame) -> DataFrame:
@@ -262,18 +268,63 @@ def register_variant(registry: DataFrame, canonical: str, variant: str) -> DataF
 # --- history: an event log, undone by replaying events backwards ---
 
 
-def log(history: DataFrame, events: DataFrame) -> DataFrame:
-    """history (seq, action, target_id, old_data as JSON) with later events."""
-    return history.unionByName(events)
+def log(history: DataFrame, events: DataFrame, most: int = 50) -> DataFrame:
+    """history (seq, action, target_id, old_data as JSON) with later events; only the latest `most` are kept."""
+    return recent(history.unionByName(events), most)
 
 
 def recent(history: DataFrame, limit: int = 50) -> DataFrame:
     return history.orderBy(F.desc("seq")).limit(limit)
 
 
+def cleared(history: DataFrame) -> DataFrame:
+    return history.limit(0)
+
+
 def undo(entities: DataFrame, history: DataFrame, seq: int) -> DataFrame:
     """entities as before the events from seq on: what was added goes, what was changed or deleted comes back as its first old form."""
     later = history.where(F.col("seq") >= seq)
+    return _undone(entities, later.where(F.col("action").isin("add_entity", "update_entity", "delete_entity")), "add_entity")
+
+
+def undo_groups(groups: DataFrame, entities: DataFrame, history: DataFrame, seq: int) -> tuple[DataFrame, DataFrame]:
+    """groups and entities as before the group events from seq on.
+
+    create_group's old_data holds the members' replacements before it (entities: id, replacement), which they get back. The
+    target of add_entity_to_group and remove_entity_from_group is `group:entity`.
+    """
+    later = history.where(F.col("seq") >= seq)
+    back = _undone(groups, later.where(F.col("action").isin("create_group", "update_group", "delete_group")), "create_group")
+    moves = later.where(F.col("action").isin("add_entity_to_group", "remove_entity_from_group"))
+    first = moves.groupBy("target_id").agg(F.min_by("action", "seq").alias("action")).select(F.split_part("target_id", F.lit(":"), F.lit(1)).alias("of"), F.split_part("target_id", F.lit(":"), F.lit(2)).alias("entity"), "action")
+    changed = first.groupBy("of").agg(*[F.collect_list(F.when(F.col("action") == a, F.col("entity"))).alias(c) for a, c in (("add_entity_to_group", "gone"), ("remove_entity_from_group", "again"))])
+    ids = F.when(F.col("of").isNull(), F.col("entity_ids")).otherwise(F.array_union(F.array_except("entity_ids", "gone"), "again"))
+    back = back.join(changed, F.col("id") == F.col("of"), "left").withColumn("entity_ids", ids).select(*groups.columns)
+    made = later.where("action = 'create_group'").select("seq", F.explode(F.from_json("old_data", "entities array<struct<id:string,replacement:string>>")["entities"]).alias("e"))
+    old = made.groupBy(F.col("e.id").alias("id")).agg(F.min_by("e.replacement", "seq").alias("before"), F.lit(True).alias("found"))
+    restored = entities.join(old, "id", "left").withColumn("replacement", F.when(F.col("found"), F.col("before")).otherwise(F.col("replacement")))
+    return back, restored.select(*entities.columns)
+
+
+def _undone(rows: DataFrame, later: DataFrame, added: str) -> DataFrame:
     first = later.groupBy(F.col("target_id").alias("id")).agg(F.min_by("action", "seq").alias("action"), F.min_by("old_data", "seq").alias("old"))
-    back = first.where("action <> 'add_entity'").select(F.from_json("old", entities.schema).alias("e")).select("e.*")
-    return entities.join(first.select("id"), "id", "left_anti").unionByName(back)
+    back = first.where(F.col("action") != added).select(F.from_json("old", rows.schema).alias("e")).select("e.*")
+    return rows.join(first.select("id"), "id", "left_anti").select(*rows.columns).unionByName(back)
+
+
+class Grouped:
+    """The grouped entities of one state of the table, kept until the entities change."""
+
+    def __init__(self):
+        self._of, self._kept = None, None
+
+    def get(self, entities: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+        if self._kept is None or self._of is not entities:
+            self.invalidate()
+            self._of, self._kept = entities, grouped(entities, manual).persist()
+        return self._kept
+
+    def invalidate(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._of, self._kept = None, None

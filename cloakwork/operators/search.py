@@ -18,28 +18,42 @@ QUICK = {
 
 
 def pattern(query: str, case_sensitive: bool = False, whole_words: bool = False, regex: bool = False) -> str:
+    """A regex stands for itself: whole_words is about literal queries."""
     body = query if regex else text.quoted(query)
-    return ("(?U)" if case_sensitive else "(?iU)") + (rf"\b(?:{body})\b" if whole_words else body)
+    return ("(?U)" if case_sensitive else "(?iU)") + (rf"\b(?:{body})\b" if whole_words and not regex else body)
 
 
-def lines(body: Column) -> Column:
-    """array<struct<line,at,content>>: each line, its number from 1 and where it starts."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:int,at:int,content:string>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["out"], F.struct((F.size(s["out"]) + 1).alias("line"), s["at"].alias("at"), x.alias("content"))).cast("array<struct<line:int,at:int,content:string>>").alias("out"))
+HITS = "array<struct<line:int,at:int,content:string>>"
+
+
+def hit_lines(body: Column, p: str) -> Column:
+    """array<struct<line,at,content>>: each line with a match, its number from 1 and where it starts. One pass over the text."""
+    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("at"), F.array().cast(HITS).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        met = F.when(x.rlike(p), F.array_append(s["out"], F.struct(s["line"].alias("line"), s["at"].alias("at"), x.alias("content"))).cast(HITS)).otherwise(s["out"])
+        return F.struct((s["line"] + 1).alias("line"), (s["at"] + F.length(x) + 1).alias("at"), met.alias("out"))
+
     return F.aggregate(F.split(body, "\n", -1), start, step, lambda s: s["out"])
 
 
 def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, line, match, start, end: every match, with offsets in the whole text. Lines without one are never exploded."""
+    """id, line, match, start, end: every match, with offsets in the whole text. Lines without one are never rows, and no row
+    carries the text."""
     p = pattern(query, **options)
-    # A line's start is where the text's first lines end: matches are found in lines, so none goes over a line's end.
-    rows = docs.where(F.col(text_col).rlike(p)).select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("n", "content"), F.split(text_col, "\n", -1).alias("all"))
-    hits = rows.where(F.col("content").rlike(p)).select(id_col, "n", "content", F.aggregate(F.slice("all", F.lit(1), F.col("n")), F.lit(0), lambda a, x: a + F.length(x) + 1).alias("at"))
-    found = hits.select(id_col, "n", "at", F.inline_outer(spans.find(F.col("content"), p))).where("value is not null")
-    return found.select(id_col, (F.col("n") + 1).alias("line"), F.col("value").alias("match"), (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+    rows = docs.where(F.col(text_col).rlike(p)).select(id_col, spans.once(hit_lines(F.col(text_col), p)).alias("hits"))
+    found = rows.select(id_col, F.inline("hits")).select(id_col, "line", "at", F.inline_outer(spans.find(F.col("content"), p))).where("value is not null")
+    return found.select(id_col, "line", F.col("value").alias("match"), (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+
+
+def quick(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The search by one of the QUICK patterns."""
+    return search(docs, QUICK[name], id_col, text_col, regex=True)
 
 
-def with_entities(found: DataFrame, entities: DataFrame, query: str, id_col: str = "doc_id") -> DataFrame:
-    """The matches and the entities whose value holds the query; these have no line."""
-    hits = entities.where(F.lower("value").contains(query.lower())).select(id_col, F.lit(None).cast("int").alias("line"), F.col("value").alias("match"), "start", "end")
+def with_entities(found: DataFrame, entities: DataFrame, query: str, id_col: str = "doc_id", case_sensitive: bool = False) -> DataFrame:
+    """The matches and the entities whose `type: value` holds the query; these have no line."""
+    spelt = F.concat("type", F.lit(": "), "value")
+    met = spelt.contains(query) if case_sensitive else F.lower(spelt).contains(query.lower())
+    hits = entities.where(met).select(id_col, F.lit(None).cast("int").alias("line"), F.lit(query).alias("match"), F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"))
     return found.unionByName(hits)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
 from ..plans.settings import Settings
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -28,8 +29,20 @@ def extension(path: Column) -> Column:
 
 def binary(spark: SparkSession, path: str, settings: Settings = Settings(), types=FORMATS) -> DataFrame:
     """path, modificationTime, length, content, extension, hash of files of supported types and sizes; Spark lists no file without a byte."""
+    files = listed(spark, path, types).where(F.col("length") <= settings.max_file_bytes)
+    return files.withColumn("hash", F.md5("content"))
+
+
+def listed(spark: SparkSession, path: str, types=FORMATS) -> DataFrame:
+    """Files of supported types and any size; a file's content is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.withColumn("extension", extension(F.col("path"))).where(F.col("extension").isin(*types) & (F.col("length") <= settings.max_file_bytes)).withColumn("hash", F.md5("content"))
+    return files.withColumn("extension", extension(F.col("path"))).where(F.col("extension").isin(*types))
+
+
+def refused(spark: SparkSession, path: str, settings: Settings = Settings(), types=FORMATS) -> DataFrame:
+    """path, text, meta, error: a row for each file that is too large to be read, to stand beside those of `documents`."""
+    large = listed(spark, path, types).where(F.col("length") > settings.max_file_bytes)
+    return large.select("path", F.lit(None).cast("string").alias("text"), F.create_map(F.lit("length"), F.col("length").cast("string")).alias("meta"), F.concat(F.lit("file over "), F.lit(str(settings.max_file_bytes)), F.lit(" bytes")).alias("error"))
 
 
 def info(files: DataFrame) -> DataFrame:
@@ -83,11 +96,16 @@ def pdf_text(data: bytes) -> tuple[str, dict]:
 
 
 def documents(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """path, text, meta, error of files. Text files are decoded in the JVM; containers go through Python, one file at a time."""
+    """path, text, meta, error of files. Text files are decoded in the JVM; containers go through Python, one file at a time.
+
+    A text over settings.max_text_chars is cut, and meta then says truncated = true. `refused` has the files that `binary`
+    leaves out.
+    """
     most = settings.max_text_chars
-    plain = files.where("extension = 'txt'").withColumn("text", F.substring(decoded(F.col("content")), 1, most))
+    ship(files.sparkSession)
+    plain = files.where("extension = 'txt'").withColumn("whole", decoded(F.col("content"))).withColumn("text", F.substring("whole", 1, most))
     encoding = F.when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8").otherwise("latin-1")
-    plain = plain.select("path", "text", F.create_map(F.lit("format"), F.lit("txt"), F.lit("encoding"), encoding, F.lit("length"), F.length("text").cast("string"), F.lit("lines"), F.size(F.split("text", "\n")).cast("string")).alias("meta"), F.when(F.trim("text") == "", "empty document").alias("error"))
+    plain = plain.select("path", "text", F.create_map(F.lit("format"), F.lit("txt"), F.lit("encoding"), encoding, F.lit("length"), F.length("text").cast("string"), F.lit("lines"), F.size(F.split("text", "\n")).cast("string"), F.lit("truncated"), (F.length("whole") > most).cast("string")).alias("meta"), F.when(F.trim("text") == "", "empty document").alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -95,7 +113,7 @@ def documents(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
             for path, kind, data in zip(b["path"], b["extension"], b["content"]):
                 try:
                     body, meta = {"docx": docx_text, "pdf": pdf_text}[kind](data)
-                    rows.append((path, body[:most], meta, None if body.strip() else "empty document"))
+                    rows.append((path, body[:most], meta | {"truncated": str(len(body) > most).lower()}, None if body.strip() else "empty document"))
                 except (KeyError, ValueError, ImportError, zipfile.BadZipFile, ElementTree.ParseError, RuntimeError) as e:
                     rows.append((path, None, {}, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "text", "meta", "error"])
@@ -170,8 +188,69 @@ def docx_bytes(paragraphs: list[str]) -> bytes:
 def as_docx(anonymized: DataFrame, id_col: str = "doc_id", out_col: str = "anonymized") -> DataFrame:
     """id, content: each anonymised text as a DOCX file's bytes."""
 
+    ship()
+
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: docx_bytes((t or "").split("\n")))
 
     return anonymized.select(id_col, pack(F.col(out_col)).alias("content"))
+
+
+def rewrite_docx(data: bytes, pairs: list[tuple[str, str]], watermark: str = "", sections: tuple[str, ...] = ()) -> bytes:
+    """The file with each value replaced in every run of body, tables, headers, footers and notes, and in its properties; the
+    layout stays. A value that is split between runs is not found. The watermark and sections are paragraphs of their own."""
+    parts = ("document.xml", "header", "footer", "footnotes.xml", "endnotes.xml", "comments.xml")
+    out = io.BytesIO()
+
+    def spelt(body: str | None) -> str | None:
+        for value, token in pairs:
+            body = body.replace(value, token) if body else body
+        return body
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
+        for item in z.infolist():
+            content = z.read(item.filename)
+            name = item.filename
+            if name.endswith(".xml") and (name.startswith("docProps/") or name.startswith("word/") and name[5:].startswith(parts)):
+                for prefix, (_, uri) in enumerate(n for _, n in ElementTree.iterparse(io.BytesIO(content), ["start-ns"])):
+                    if uri not in ElementTree._namespace_map:
+                        ElementTree.register_namespace(f"x{prefix}", uri)
+                root = ElementTree.fromstring(content)
+                for e in root.iter() if name.startswith("docProps/") else root.iter(f"{W}t"):
+                    e.text = spelt(e.text)
+                if name == "word/document.xml":
+                    body = root.find(f"{W}body")
+                    if watermark:
+                        body.insert(0, _paragraph(watermark))
+                    last = body.find(f"{W}sectPr")
+                    at = list(body).index(last) if last is not None else len(body)
+                    for k, line in enumerate(x for s in sections for x in s.split("\n")):
+                        body.insert(at + k, _paragraph(line))
+                content = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+            to.writestr(item, content)
+    return out.getvalue()
+
+
+def _paragraph(body: str) -> ElementTree.Element:
+    p = ElementTree.Element(f"{W}p")
+    t = ElementTree.SubElement(ElementTree.SubElement(p, f"{W}r"), f"{W}t")
+    t.text = body
+    return p
+
+
+def rewritten_docx(found: DataFrame, id_col: str = "doc_id", watermark: str = "") -> DataFrame:
+    """id, content: rewrite_docx of rows of (id, file, pairs: array<struct<value,token>>, sections). Null where a file can't be read."""
+    ship(found.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for data, pairs, sections in zip(b["file"], b["pairs"], b["sections"]):
+                try:
+                    out.append(rewrite_docx(data, [(x["value"], x["token"]) for x in pairs], watermark, tuple(sections)))
+                except (KeyError, TypeError, zipfile.BadZipFile, ElementTree.ParseError):
+                    out.append(None)
+            yield pd.DataFrame({id_col: b[id_col], "content": out})
+
+    return found.mapInPandas(run, f"`{id_col}` {found.schema[id_col].dataType.simpleString()}, content binary")
