@@ -53,7 +53,7 @@ def groups(duck: bool) -> str:
     s = "varchar" if duck else "string"
     refs = f"concat(cast(l_orderkey as {s}), '-', cast(l_linenumber as {s}), '-', cast(l_partkey as {s}), '-', cast(l_suppkey as {s}))"
     listed = f"[{refs}, concat('gone-', cast(l_orderkey % 5 as {s}))]" if duck else f"array({refs}, concat('gone-', cast(l_orderkey % 5 as {s})))"
-    return f"select concat('G', cast(l_orderkey as {s}), '-', cast(l_partkey as {s}), '-', cast(l_suppkey as {s})) as id, case when l_orderkey % 10 = 3 then '' else 'group' end as name, concat('[EMAIL_', cast(l_suppkey % 20 as {s}), ']') as token, {listed} as entity_ids from lineitem where l_linenumber = 1"
+    return f"select concat('G', cast(l_orderkey as {s}), '-', cast(l_linenumber as {s}), '-', cast(l_partkey as {s}), '-', cast(l_suppkey as {s})) as id, case when l_orderkey % 10 = 3 then '' else 'group' end as name, concat('[EMAIL_', cast(l_suppkey % 20 as {s}), ']') as token, {listed} as entity_ids from lineitem"
 
 
 SQL = {"letters": letters, "candidates": keys, "entities": entities, "groups": groups}

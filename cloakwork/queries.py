@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chunks, similarity, spans, text, validators
-from .operators import anonymize, audit, detect, evaluate, legal, manager, ner, search, stats
+from .operators import anonymize, audit, detect, evaluate, legal, manager, ner, search, stats, workflow
 from .plans import catalogue
 from .plans.settings import Settings
-from .plans.tables import duck, table
+from .plans.tables import duck, spread, table
 from .streaming import detect as streaming
 
 QUERIES: dict = {}
@@ -145,7 +145,9 @@ def token_map(t):
     return anonymize.token_map(anonymize.anonymize(detect.detect(t("letters")))).select("doc_id", "type", "token", "canonical", F.array_join("variants", "|").alias("variants"))
 
 
-@query()
+@query("""select doc_id, concat('{"DATE":{"', day, '":{"token":"[DATE_1]","variants":["', day, '"],"canonical":"', day, '"}},"EMAIL":{"', mail, '":{"token":"[EMAIL_1]","variants":["', mail, '"],"canonical":"', mail,
+    '"}},"PERSON":{"', lower(name), '":{"token":"[PERSON_1]","variants":["M. ', name, '"],"canonical":"', lower(name), '"}},"PHONE":{"', tel, '":{"token":"[PHONE_1]","variants":["', tel, '"],"canonical":"', tel, '"}}}') as mapping
+    from (select doc_id, day, concat('client', cust, '@example.com') as mail, concat(first, ' ', last) as name, right(text, 10) as tel from letters)""")
 def mapping_json(t):
     return anonymize.mapping_json(anonymize.anonymize(detect.detect(t("letters"))))
 
@@ -350,7 +352,7 @@ def union_distinct_entities(t):
 
 @query("""select doc_id, cast(len(regexp_split_to_array(substr(text, 1, start), '\\n')) as int) as line, value as match, start, "end" from (select s.*, d.text from (SPANS) s join documents d using (doc_id))""".replace("SPANS", spans_sql("documents", "text", r"(?i)\b(?:license|licensed)\b", "x")))
 def document_search(t):
-    return search.search(t("documents"), "license|licensed", regex=True, whole_words=True)
+    return search.search(t("documents"), r"\b(?:license|licensed)\b", regex=True)
 
 
 # --- statistics ---
@@ -617,7 +619,8 @@ def enhanced_merge(t):
     return ner.add_missing(e.where("method = 'regex'").drop("method"), e.where("method <> 'regex'").drop("method"))
 
 
-@query()
+@query(f"""select doc_id, type, value, start, "end", least(0.98, {catalogue.MODEL_TRUST['PER']}::double * least(1.1, 1.0::double + (length(value) - 3) * 0.02::double) * 1.05::double) as confidence, 'spacy' as method
+    from ({spans_sql('letters', 'text', '[A-Z][a-z]{5,}', 'PERSON')})""")
 def model_detection(t):
     """A backend that calls each capital word a person, chunk by chunk."""
 
@@ -660,6 +663,130 @@ def token_label_eval(t):
     return evaluate.evaluate(t("letters").select(line.alias("tokens"), labels.alias("labels")))
 
 
+# --- edits of entities and groups, lookups, histories ---
+
+
+@query("select id from entities where confidence >= 1")
+def delete_entities(t):
+    e = t("entities")
+    return manager.delete(e, e.where("confidence < 1")).select("id")
+
+
+@query("""with refs as (select id, unnest(entity_ids) as r from groups), kept as (select id, count(*) as n from refs where r not in (select id from entities where confidence < 1) group by id)
+    select g.id, cast(coalesce(k.n, 0) as integer) as n from groups g left join kept k on k.id = g.id""")
+def forget_entities(t):
+    """Groups without the references to deleted entities."""
+    return manager.forget(t("groups"), t("entities").where("confidence < 1")).select("id", F.size("entity_ids").alias("n"))
+
+
+@query("""select id, type, value, start, "end" from entities union all select concat('new-', id), type, value, start, "end" from entities where value <> 'value5' and confidence < 1""")
+def add_entities(t):
+    """New rows; those that lack a required field are not taken."""
+    e = t("entities").select("id", "type", "value", "start", "end")
+    new = t("entities").where("confidence < 1").select(F.concat(F.lit("new-"), "id").alias("id"), "type", F.when(F.col("value") != "value5", F.col("value")).alias("value"), "start", "end")
+    return manager.add(e, new)
+
+
+def _first_ids(df: DataFrame, n: int) -> list[str]:
+    return [r["id"] for r in df.select("id").orderBy("id").limit(n).collect()]
+
+
+@query("select id, case when id in (select id from entities order by id limit 3) then '[DOSSIER_A_B]' else replacement end as replacement from entities")
+def create_group(t):
+    """Entities after a group of three of them was made."""
+    ids = _first_ids(t("entities"), 3)
+    return manager.create_group(t("groups"), t("entities"), "dossier a-b", ids)[1].select("id", "replacement")
+
+
+@query("select id, case when replacement = (select token from groups order by id limit 1) then '[NEW_1]' else replacement end as replacement from entities")
+def update_group(t):
+    """Entities after the token of a group changed."""
+    (group,) = _first_ids(t("groups"), 1)
+    return manager.update_group(t("groups"), t("entities"), group, "[NEW_1]")[1].select("id", "replacement")
+
+
+@query("""select id, case when id = (select min(id) from groups) then concat(entity_ids[1], '|', entity_ids[2], '|x|y') when id = (select id from groups order by id limit 1 offset 1) then entity_ids[1] else concat(entity_ids[1], '|', entity_ids[2]) end as members from groups""")
+def join_leave_group(t):
+    """Two references more in one group, each once; the dangling ones gone from another."""
+    g = t("groups")
+    first, second = _first_ids(g, 2)
+    g = manager.join_group(manager.join_group(g, first, ["x", "y"]), first, ["x"])
+    return manager.leave_group(g, second, [f"gone-{k}" for k in range(5)]).select("id", F.array_join("entity_ids", "|").alias("members"))
+
+
+@query("""select id, case when id = (select min(id) from groups) then 'a|b' when id = (select id from groups order by id limit 1 offset 1) then concat(entity_ids[1], '|', entity_ids[2], '|a') when id = (select id from groups order by id limit 1 offset 2) then entity_ids[1] else concat(entity_ids[1], '|', entity_ids[2]) end as variants from groups""")
+def edit_variants(t):
+    """One token's variants replaced, another's added to, one of a third excluded."""
+    g = t("groups").select(F.col("id").alias("token"), F.col("entity_ids").alias("variants"))
+    first, second, third = (r["token"] for r in g.orderBy("token").limit(3).collect())
+    g = manager.edit_variants(manager.edit_variants(g, first, [" a", "b", "a "], replace=True), second, ["a", " a "])
+    for k in range(5):
+        g = manager.exclude_variant(g, third, f"gone-{k}")
+    return g.select(F.col("token").alias("id"), F.array_join("variants", "|").alias("variants"))
+
+
+@query("select id, value from entities order by id limit 1")
+def entity_lookup(t):
+    (wanted,) = _first_ids(t("entities"), 1)
+    return manager.by_id(t("entities"), wanted).select("id", "value")
+
+
+@query("""select replacement as token, cast(sum(total_occurrences) as bigint) as n from entities where type = 'EMAIL' group by replacement having sum(total_occurrences) > 1""")
+def group_view(t):
+    """Groups of one type with more than one occurrence."""
+    return manager.group_view(manager.grouped(t("entities").where("type = 'EMAIL'").withColumn("all_positions", F.lit(None).cast("array<struct<start:int,end:int>>"))), ["EMAIL"], hide_single=True).select("token", F.col("total_occurrences").cast("long").alias("n"))
+
+
+_TWICE = "concat(text, ' puis client', cust, '@example.com', case when doc_id % 2 = 0 then '.fr' else '.association.example.org' end)"
+
+
+@query("select doc_id, 'EMAIL' as type, '[EMAIL_1]' as token, concat('client', cust, '@example.com') as original, concat('client', cust, '@example.com.fr') as variant from letters where doc_id % 2 = 0")
+def merge_history(t):
+    """Addresses that join an earlier one's token, as they hold it and are much alike; others that hold it are too long."""
+    return anonymize.merge_history(anonymize.anonymize(detect.detect(t("letters").withColumn("text", F.expr(_TWICE)))))
+
+
+_PERSONS = "concat(text, ' avec M. ', last, ', ', case when doc_id % 2 = 0 then 'Mme Julie Lemaitre' else 'personne' end, '.')"
+
+
+@query(f"""select doc_id, replace(replace(replace(replace(replace(replace(line, concat('M. ', first, ' ', last), mine), concat('M. ', last), mine), 'Mme Julie Lemaitre', hers), concat('client', cust, '@example.com'), '[EMAIL_1]'), day, '[DATE_1]'), tel, '[PHONE_1]') as anonymized
+    from (select *, {_PERSONS} as line, right(text, 10) as tel, case when doc_id % 2 = 0 and length(first) + length(last) + 1 < 14 then '[PERSON_2]' else '[PERSON_1]' end as mine, case when length(first) + length(last) + 1 < 14 then '[PERSON_1]' else '[PERSON_2]' end as hers from letters)""")
+def anonymize_persons(t):
+    """Two persons, one of them named twice; the longest name is numbered first, and a last name alone joins its person."""
+    return anonymize.anonymize(detect.detect(t("letters").withColumn("text", F.expr(_PERSONS)))).select("doc_id", "anonymized")
+
+
+@query("select count(distinct doc_id) as documents, count(*) as entities from entities")
+def running_totals(t):
+    return stats.running_totals(t("entities").groupBy("doc_id").agg(F.count("*").alias("n")))
+
+
+@query("select id, type, case when type = 'PERSON' then substr(lower(value), 5) else value end as canonical from (select id, type, concat('Mme ', value) as value from entities)")
+def canonical_values(t):
+    """Persons by their plain names, other values as they are."""
+    return ner.canonical(t("entities").withColumn("value", F.concat(F.lit("Mme "), "value"))).select("id", "type", "canonical")
+
+
+@query("""select p_partkey, round(2.0::double * least(length(p_name), length(b)) / (length(p_name) + length(b)), 6) as ratio from (select p_partkey, p_name, substr(p_name, 1, 1 + p_partkey % 9) as b from part)""")
+def indel_ratio(t):
+    """Of a name and its first letters: the shorter one is the longest common subsequence."""
+    part = t("part").withColumn("b", F.expr("substr(p_name, 1, cast(1 + p_partkey % 9 as int))"))
+    return part.select("p_partkey", F.round(similarity.indel_ratio(F.col("p_name"), F.col("b")), 6).alias("ratio"))
+
+
+@query()
+def process_documents(t):
+    """The document entry, with all patterns, over whole documents."""
+    done = workflow.process(spread(t("documents")))
+    return done.select("doc_id", "status", "success", "entities_replaced", "not_replaced_count", "potential_leaks", "result_hash")
+
+
+@query(f"""select doc_id, type, value, start, "end" from ({" union all ".join(f"({spans_sql('documents', 'text', d.pattern.replace('*+', '*').replace('++', '+') if d.ignore_case is False else '(?i)' + d.pattern.replace('*+', '*').replace('++', '+'), d.type)})" for d in catalogue.RUNTIME if d.type in ('EMAIL', 'IBAN', 'PHONE', 'SSN', 'SIRET', 'SIREN', 'TVA'))})""")
+def detect_document_numbers(t):
+    """Addresses and numbers by their patterns alone, over whole documents."""
+    return detect.raw_spans(t("documents"), tuple(d for d in catalogue.RUNTIME if d.type in ("EMAIL", "IBAN", "PHONE", "SSN", "SIRET", "SIREN", "TVA"))).select("doc_id", "type", "value", "start", "end")
+
+
 # --- chunks and streams ---
 
 
@@ -668,12 +795,22 @@ def chunk_strided(t):
     return t("documents").select("doc_id", F.explode(chunks.strided(F.col("text"))).alias("c")).select("doc_id", F.col("c.offset").cast("int").alias("offset"), "c.chunk")
 
 
-@query()
+@query("""with recursive c as (
+    select doc_id, text, 0 as start, case when 1000 < length(text) and contains(substr(text, 951, 50), ' ') then 1000 - instr(reverse(substr(text, 951, 50)), ' ') else 1000 end as stop from documents where text is not null
+    union all select doc_id, text, greatest(stop - 100, start + 1), case when greatest(stop - 100, start + 1) + 1000 < length(text) and contains(substr(text, greatest(stop - 100, start + 1) + 951, 50), ' ')
+        then greatest(stop - 100, start + 1) + 1000 - instr(reverse(substr(text, greatest(stop - 100, start + 1) + 951, 50)), ' ') else greatest(stop - 100, start + 1) + 1000 end from c where stop < length(text))
+    select doc_id, cast(start as integer) as "offset", substr(text, start + 1, stop - start) as chunk from c""")
 def chunk_overlap(t):
     return t("documents").select("doc_id", F.explode(chunks.overlapping(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
-@query()
+_CUT = """case when length(text) - {at} <= 512 then length(text) when strpos(reverse(substr(text, {at} + 1, 512)), ' .') between 1 and 254 then {at} + 512 - strpos(reverse(substr(text, {at} + 1, 512)), ' .')
+    when strpos(reverse(substr(text, {at} + 257, 256)), ' ') > 0 then {at} + 512 - strpos(reverse(substr(text, {at} + 257, 256)), ' ') else {at} + 512 end"""
+
+
+@query(f"""with recursive c as (select doc_id, text, 0 as start, {_CUT.format(at='0')} as stop from documents where text is not null
+    union all select doc_id, text, stop, {_CUT.format(at='stop')} from c where stop < length(text))
+    select doc_id, cast(start as integer) as "offset", substr(text, start + 1, stop - start) as chunk from c""")
 def chunk_sentence(t):
     return t("documents").select("doc_id", F.explode(chunks.by_sentence(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
