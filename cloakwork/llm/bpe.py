@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 class Codec:
     """remember: most pieces, and most pairs, whose results a worker keeps; older ones are computed again."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_alphabet())}

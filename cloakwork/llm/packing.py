@@ -61,9 +61,10 @@ class Words:
         for at in range(0, len(unknown), 2048):
             some = unknown[at : at + 2048]
             if self.parting is None:
-                got = [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([w.decode() for w in some], add_special_tokens=False)]
+                got = [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
             else:
-                ids = np.array(self.library.encode(self.parting[0].join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+                text = self.parting[0].join(w.decode() for w in some)
+                ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
                 data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.parting[1])).tolist()
                 got = [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
             if len(got) != len(some):
