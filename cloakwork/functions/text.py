@@ -59,6 +59,7 @@ def without_title(c: Column, titles, dot: bool = True) -> Column:
 
 def person_key(c: Column) -> Column:
     """What two spellings of a person's name share: no title, accents, case, or signs but the hyphen."""
+    # Fixed value: titles as they stand before a name.
     out = F.regexp_replace(F.trim(c), r"(?iU)^(?:m\.?|mme|mlle|mle|mr|dr|me|ma[iî]tre)\s+", "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(unaccented(out)), r"[^a-z\s-]", ""), r"\s+", " "))
 
@@ -102,6 +103,7 @@ def name_parts(c: Column, titles=catalogue.PERSON_TITLES) -> Column:
 def metaphone_fr(c: Column) -> Column:
     """A crude French sound code."""
     out = F.regexp_replace(F.lower(unaccented(c)), "[^a-z]", "")
+    # Letters that sound as one.
     for old, new in (("ph", "f"), ("th", "t"), ("ch", "x"), ("gn", "n"), ("qu", "k"), ("ck", "k"), ("cq", "k")):
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.upper(F.concat(F.substring(out, 1, 1), F.regexp_replace(F.substring(out, F.lit(2), F.length(out)), "[aeiouy]", "")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The form of an address, and words beside a date that make it a reference to a law.
 EMAIL_FORM = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-#: Words beside a date that make it a reference to a law.
 LAW = r"\b(?:article|art\.|loi|décret|code)\b"
 
 

@@ -414,10 +414,11 @@ def document_report(t):
 
 
 @query("""with r as (select doc_id, count(*) filter (confidence < 0.5) as low, bool_or(type in ('EMAIL', 'PHONE', 'IBAN')) as sensitive from entities group by doc_id)
-    select doc_id, concat(case when low > 0 then 'low_confidence,' else '' end, case when sensitive then 'sensitive_data,' else '' end, case when low = 0 and not sensitive then 'ok,' else '' end) as codes from r""")
+    select doc_id, concat(case when low > 0 then 'low_confidence,' else '' end, case when doc_id % 100 > 50 then 'high_coverage,' when doc_id % 100 < 5 then 'low_coverage,' else '' end, case when sensitive then 'sensitive_data,' else '' end,
+        case when low = 0 and not sensitive and doc_id % 100 between 5 and 50 then 'ok,' else '' end) as codes from r""")
 def recommendations(t):
     r = t("entities").groupBy("doc_id").agg(F.count_if(F.col("confidence") < 0.5).alias("low"), F.bool_or(F.col("type").isin(*audit.SENSITIVE)).alias("sensitive"))
-    codes = audit.recommendations(F.col("low"), F.lit(10.0), F.col("sensitive"))
+    codes = audit.recommendations(F.col("low"), (F.col("doc_id") % 100).cast("double"), F.col("sensitive"))
     return r.select("doc_id", F.concat(F.array_join(codes, ","), F.lit(",")).alias("codes"))
 
 
@@ -612,11 +613,15 @@ def regex_model_merge(t):
     return fused.select("doc_id", F.inline_outer("entities")).where("type is not null").select("doc_id", "type", "value", "start", "end", F.round("confidence", 6).alias("confidence"), "method")
 
 
-@query("""with r as (select doc_id, id, type, start, "end" from entities where method = 'regex'), m as (select doc_id, id, type, start, "end" from entities where method <> 'regex')
+_SPELT = "case when type = 'PERSON' and method = 'spacy' then 'PERSON_FR' when type = 'PERSON' then 'PERSON_WITH_TITLE' when type = 'ORG' and method <> 'regex' then 'ORG_FR' else type end"
+
+
+@query("""with r as (select doc_id, id, type, start, "end" from entities where method = 'regex'), m as (select doc_id, concat('m', id) as id, type, start, "end" from entities where method <> 'regex' or doc_id % 2 = 0)
     select doc_id, id, type, start, "end" from r union all select doc_id, id, type, start, "end" from m where not exists (select 1 from r where r.doc_id = m.doc_id and r.start = m.start and r."end" = m."end" and r.type = m.type)""")
 def enhanced_merge(t):
-    e = t("entities").select("doc_id", "id", "type", "start", "end", "method")
-    return ner.add_missing(e.where("method = 'regex'").drop("method"), e.where("method <> 'regex'").drop("method"))
+    """Pattern and model rows whose types are spelt in the detectors' and the models' own ways; half of the pattern rows are found by the model too."""
+    e = t("entities").select("doc_id", "id", F.expr(_SPELT).alias("type"), "start", "end", "method")
+    return ner.add_missing(e.where("method = 'regex'").drop("method"), e.where("method <> 'regex' or doc_id % 2 = 0").withColumn("id", F.concat(F.lit("m"), "id")).drop("method"))
 
 
 @query(f"""select doc_id, type, value, start, "end", least(0.98, {catalogue.MODEL_TRUST['PER']}::double * least(1.1, 1.0::double + (length(value) - 3) * 0.02::double) * 1.05::double) as confidence, 'spacy' as method
@@ -817,7 +822,10 @@ def chunk_sentence(t):
 
 def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by type over a stream that ends when the folder is read."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    shared = shared or tempfile.gettempdir()
     out = f"{shared}/cloakwork-stream-{os.urandom(8).hex()}"
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     # A stream reads a folder, so a single file is named by its folder and a pattern.
