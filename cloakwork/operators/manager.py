@@ -189,7 +189,7 @@ def cleanup(groups: DataFrame, entities: DataFrame) -> DataFrame:
 
 def _kept_refs(groups: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     refs = groups.select(F.col("id").alias("_group"), F.posexplode("entity_ids").alias("_at", "_ref"))
-    kept = refs.join(ids.select(F.col("id").alias("_ref")).distinct(), "_ref", how).groupBy("_group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_ref"))), lambda s: s["_ref"]).alias("_ids"))
+    kept = refs.join(ids.select(F.col("id").alias("_ref")).distinct(), "_ref", how).groupBy("_group").agg(F.transform(F.array_sort(F.collect_set(F.struct("_at", "_ref"))), lambda s: s["_ref"]).alias("_ids"))
     both = groups.join(kept, F.col("id") == F.col("_group"), "left")
     return both.withColumn("entity_ids", F.coalesce("_ids", F.array().cast("array<string>"))).select(*groups.columns)
 

@@ -677,7 +677,7 @@ def delete_entities(t):
     return manager.delete(e, e.where("confidence < 1")).select("id")
 
 
-@query("""with refs as (select id, unnest(entity_ids) as r from groups), kept as (select id, count(*) as n from refs where r not in (select id from entities where confidence < 1) group by id)
+@query("""with refs as (select id, unnest(entity_ids) as r from groups), kept as (select id, count(distinct r) as n from refs where r not in (select id from entities where confidence < 1) group by id)
     select g.id, cast(coalesce(k.n, 0) as integer) as n from groups g left join kept k on k.id = g.id""")
 def forget_entities(t):
     """Groups without the references to deleted entities."""
